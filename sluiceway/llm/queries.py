@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup
+from . import byte_bpe, decontaminate, exact_dedup, token_store, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
+    "op3_warc": warc.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_token_store": token_store.query,
+    "op10_url_filter": url_filter.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_warc": warc.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op10_url_filter": url_filter.SQL,
 }
