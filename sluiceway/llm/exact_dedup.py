@@ -160,7 +160,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = materialise(text_hashes(docs, id_col, text_col), "hashes")
     marked = materialise(mark(hashes, RepeatFilters(hashes, hashes.count(), max_bits)), "marked")
     maybe = marked.where("maybe")
-    found = maybe.join(groups(maybe), F.col("sha") == F.col("_sha"), "left")
+    # the groups are written first, so that this join shuffles both its sides and a hot text can be split
+    found = maybe.join(materialise(groups(maybe), "groups"), F.col("sha") == F.col("_sha"), "left")
     alone = F.col("_n").isNull()
     tail = F.lower(F.hex("sha")).alias("text_sha256")
     own = F.col("id").alias(id_col)
