@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, token_store, url_filter, warc
+from . import byte_bpe, decontaminate, exact_dedup, token_store, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_warc": warc.query,
+    "op4_toxicity": toxicity.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_decontaminate": decontaminate.query,
     "op8_token_store": token_store.query,
