@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, token_store, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, exact_dedup, near_dedup, token_store, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_near_dedup": near_dedup.query,
     "op8_token_store": token_store.query,
     "op10_url_filter": url_filter.query,
 }
