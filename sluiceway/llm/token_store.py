@@ -36,7 +36,7 @@ BITS_PER_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQ8s8s")
 MAGIC = b"SORTTOK1"
 #: Chunks of text that a worker remembers.
-CACHE = 300_000
+CACHE = 1_200_000
 END_ID = 1
 
 
@@ -178,8 +178,11 @@ class ShardReader:
 
 
 class Encoder:
-    """The tokenizer over chunks between ASCII blanks, which its own rules drop and never cross;
-    each different chunk is encoded once and remembered."""
+    """The tokenizer over chunks between ASCII blanks, which its own rules drop and never cross.
+
+    Each different chunk is encoded once and remembered.  Its rules also make ASCII letters small
+    and part a word from ASCII marks at its end, so chunks are remembered without those.  New ones
+    are encoded many at a time, and the places of the ids tell whose they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -190,20 +193,50 @@ class Encoder:
         self.cache: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
+        # where a special token may stand, capitals matter
+        chunks = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         wanted = set().union(*chunks)
         if len(self.cache) + len(wanted) > CACHE:
             self.cache.clear()
-        new = [c for c in wanted if c not in self.cache]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.cache[chunk] = np.array(found.ids, f"<u{self.id_bytes}").tobytes()
-        out = [b"".join([self.cache[c] for c in x]) for x in chunks]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        cache = self.cache
+        new = wanted - cache.keys()
+        parted = {c: at for c in new if (at := self._tail(c))}
+        parts = new - parted.keys()
+        for c, at in parted.items():
+            parts.add(c[:at])
+            parts.add(c[at:])
+        self._learn(parts - cache.keys())
+        for c, at in parted.items():
+            cache[c] = cache[c[:at]] + cache[c[at:]]
+        out = [b"".join(map(cache.__getitem__, x)) for x in chunks]
+        if len(cache) > CACHE:
+            cache.clear()
         return out
 
+    @staticmethod
+    def _tail(chunk: bytes) -> int:
+        """Where marks at the end of a word begin: after an ASCII or Latin-1 letter, or a digit; 0 if it has none."""
+        at = len(chunk.rstrip(_MARKS))
+        if at == len(chunk) or not at or b"<|" in chunk:
+            return 0
+        last = chunk[at - 1 : at] if chunk[at - 1] < 128 else chunk[max(0, at - 2) : at]
+        return at if last.isalnum() or (len(last) == 2 and last[0] == 0xC3 and last[1] not in (0x97, 0xB7)) else 0
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        new = list(chunks)
+        for k in range(0, len(new), 500):
+            part = new[k : k + 500]
+            text = b"\n".join(part).decode()
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 10)
+            first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ids = np.array(found.ids, f"<u{self.id_bytes}").tobytes()
+            at = (np.searchsorted(first, np.concatenate([[0], breaks, [len(text)]])) * self.id_bytes).tolist()
+            self.cache.update(zip(part, [ids[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+
+
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
 
 @cache
 def encoder(path: str) -> Encoder:
