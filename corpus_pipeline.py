@@ -1,19 +1,53 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: toxicity, exact copies, near copies, benchmark passages, token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and
+returns a DataFrame, which run() writes as Parquet and reads again for the next.  All but the
+last return the columns of documents; what a stage rejects is gone from there on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluiceway.llm import exact_dedup
+from sluiceway.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from sluiceway.llm.common import materialise, read_table
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, fitted to the labelled rows among them, scores below one half."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for blanks the longest stays, then that of the least doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays, that of the least doc_id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the bytes at which tokens begin, of every whole text."""
+    return byte_bpe.encode(docs, byte_bpe.vocabulary()).select("doc_id", F.col("n_tokens"), "ids", "starts")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_passages),
+    ("byte-level BPE", token_ids),
+]
 
+#: A conditional random field, MinHash classes and BPE are beyond SQL; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
