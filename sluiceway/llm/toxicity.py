@@ -274,16 +274,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r._t for r in rows], [r._y for r in rows])
 
 
+def _scores(p: np.ndarray, doc: np.ndarray, n: int, model: Model) -> np.ndarray:
+    return np.round(_sigmoid(_document_columns(p, doc, n) @ model.document), 9)
+
+
 def score_slice(column: pa.Array, model: Model):
-    """Scores of texts, and the tokens over one half: document, start and end in bytes."""
+    """Scores of texts, and the tokens over one half: document, start and end in bytes.
+    Scores are rounded, so that they do not depend on what else is in the slice."""
     data, offsets = raw(column)
     start, end, doc, whole = words(data, offsets)
     if not len(start):
-        return _sigmoid(_document_columns(np.empty(0), np.empty(0, int), len(column)) @ model.document), data, offsets, np.empty(0, int), start, end
+        return _scores(np.empty(0), np.empty(0, int), len(column), model), data, offsets, np.empty(0, int), start, end
     first = np.append(True, doc[1:] != doc[:-1])
     p = marginals(emissions(features(data, start, end, whole), model), first, model)
     hit = np.flatnonzero(p >= 0.5)
-    return _sigmoid(_document_columns(p, doc, len(column)) @ model.document), data, offsets, hit, start, end
+    return _scores(p, doc, len(column), model), data, offsets, hit, start, end
 
 
 def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
