@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import broadcastable, materialise
 
-ROUNDS = 3
+ROUNDS = 2
 #: Nodes in a block of the last comparison.
 BLOCK = 128
 MOST_BUCKETS = 400_000
+#: Edges whose components one task finds.
+MOST_EDGES = 500_000
 
 
 def pack(shingles: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
@@ -67,10 +69,14 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "v", "t", "w").mapInArrow(run, "a binary, b binary, d double")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     """(node, root) of every node of an edge: the least node that it is connected with.
-    Large-star and small-star steps in turn; each writes its edges."""
+
+    Up to most_edges edges, counted first, go through one task; more of them through large-star
+    and small-star steps in turn, each of which writes its edges.  Both give the same rows."""
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if broadcastable(now, most_edges):
+        return materialise(now.coalesce(1).mapInArrow(_united, "node binary, root binary"), "roots")
     mark = _mark(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -86,6 +92,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of one task's edges, by union-find."""
+    ends: list[list[bytes]] = [[], []]
+    for batch in batches:
+        for k in range(2):
+            ends[k] += batch.column(k).to_pylist()
+    names = sorted({*ends[0], *ends[1]})
+    place = {x: k for k, x in enumerate(names)}
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(*ends, strict=True):
+        x, y = find(place[a]), find(place[b])
+        parent[max(x, y)] = min(x, y)
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[find(k)] for k in range(len(names))], pa.binary())], ["node", "root"])
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row.n, int(row.h or 0)
@@ -94,7 +122,9 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("root", F.col("node"))
-    return members.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
+    side = roots.select(F.col("node").alias("_n"), "root")
+    side = F.broadcast(side) if broadcastable(side, MOST_BUCKETS) else side
+    return members.join(side, F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -103,59 +133,77 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several, F.col("band") == F.col("_b"), "left_semi")
 
 
-def link(members: DataFrame, sets: DataFrame, most: float) -> DataFrame | None:
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The classes with more links; what was known stands for the links that made it."""
+    if not links.limit(1).count():
+        return roots
+    return components(links if roots is None else links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def link(members: DataFrame, sets: DataFrame, most: float, rounds: int = ROUNDS) -> DataFrame | None:
     """Roots (node, root) of the classes of nodes that are joined by links of distance `most` or
     less within buckets; None if there is no link."""
-    links, roots, least_left = None, None, members
-    for _ in range(ROUNDS):
-        now = _rooted(least_left, roots) if roots is not None else least_left.withColumn("root", F.col("node"))
-        now = materialise(_mixed(now), "rooted")
+    roots, left = None, members
+    for _ in range(rounds):
+        now = materialise(_mixed(_rooted(left, roots)), "rooted")
         if not now.limit(1).count():
             return roots
         lead = now.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead")).select(F.col("band").alias("_b"), F.col("lead.node").alias("leader"), F.col("lead.root").alias("leader_root"))
         led = materialise(now.join(lead, F.col("band") == F.col("_b")).where("node <> leader").drop("_b"), "led")
-        open_ = led.where("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        found = materialise(verify(open_, sets), "verified")
-        close = found.where(F.col("d") <= most + 1e-12).select("a", "b")
-        links = materialise(close if links is None else links.unionAll(close), "links")
-        if links.limit(1).count():
-            roots = components(links)
+        found = materialise(verify(led.where("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "verified")
+        roots = _merged(roots, found.where(F.col("d") <= most + 1e-12).select("a", "b"))
         # a node of the leader's class with unknown distance counts as the farthest that a link allows
-        judged = led.join(found.withColumnRenamed("d", "dist"), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left").select("band", "node", (F.coalesce("dist", F.lit(most))).alias("dist"), F.col("root") == F.col("leader_root"))
-        judged = materialise(judged.select("band", "node", "dist"), "judged")
+        judged = led.join(found.select("a", "b", F.col("d").alias("dist")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left")
+        judged = materialise(judged.select("band", "node", F.coalesce("dist", F.lit(most)).alias("dist")), "judged")
         far = judged.where(F.col("dist") > most + 1e-12).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
-        least_left = materialise(judged.join(far, F.col("band") == F.col("_b")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node"), "left")
-    now = materialise(_mixed(_rooted(least_left, roots)), "rooted")
-    if now.limit(1).count():
-        close = _blocks(now, sets, most)
-        links = materialise(close if links is None else links.unionAll(close), "links")
-        if links.limit(1).count():
-            roots = components(links)
-    return roots
+        left = materialise(judged.join(far, F.col("band") == F.col("_b")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node"), "left")
+    now = materialise(_mixed(_rooted(left, roots)), "rooted")
+    return _merged(roots, materialise(_blocks(now, sets, most), "links")) if now.limit(1).count() else roots
 
 
 def _blocks(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
-    """Links between nodes of different classes in one bucket, found block against block."""
-    sized = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).withColumnRenamed("band", "_b")
-    dealt = members.join(sized, F.col("band") == F.col("_b")).drop("_b").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block i meets every block j: i <= j; a node goes to each pair that its block is in
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = pairs.join(sets, "node").select("band", "i", "j", "block", "node", "root", "shingles", "weights")
+    """Links between nodes of different classes in one bucket, found block against block.
+
+    The largest class of a bucket has blocks of its own, which meet only those of the others, so
+    that a few strangers to a large class cost no more than one look at it each.  A pair that meets
+    in several buckets is compared in the first alone, and not at all once both are known to be in
+    one class."""
+    counts = members.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = counts.select(F.col("band").alias("_b"), F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.count")).alias("few"), blocks(F.col("top.count")).alias("many"))
+    own = members.groupBy(F.col("node").alias("_n")).agg(F.collect_list("band").alias("bands"))  # no more than there are bands
+    held = materialise(sets.join(own, F.col("node") == F.col("_n")).drop("_n"), "held")
+    h, at_top = F.xxhash64("node"), F.col("root") == F.col("top")
+    dealt = members.join(sized, F.col("band") == F.col("_b")).drop("_b").withColumn("block", F.when(at_top, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
+    # blocks of the others meet every block, those of the largest class only the others': a row for each meeting
+    meets = F.when(at_top, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = pairs.join(held, "node").select("band", "i", "j", "block", "node", "root", "shingles", "weights", "bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, a, b = None, [], [], []
+        key, seen, parent, a, b = None, [], {}, [], []
+
+        def find(x: bytes) -> bytes:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
         for batch in batches:
-            for band, i, j, block, node, root, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, i, j, block, node, root, s, w, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, i, j) != key:
-                    key, held = (band, i, j), []
-                for other, its_root, its_block, its in held:
-                    if its_root != root and (i == j or its_block != block) and distance(its, (s, w)) <= most + 1e-12:
+                    key, seen, parent = (band, i, j), [], {}
+                bands, size = set(bands), int(np.frombuffer(w, "<u4").sum()) if w else len(s) // 4
+                for other, its_root, its_block, its_bands, its_size, its in seen:
+                    if (i != j and its_block == block) or min(size, its_size) < (1 - most - 1e-12) * max(size, its_size):
+                        continue
+                    if find(its_root) != find(root) and min(bands & its_bands) == band and distance(its, (s, w)) <= most + 1e-12:
+                        parent[find(root)] = find(its_root)
                         a.append(node)
                         b.append(other)
-                held.append((node, root, block, (s, w)))
+                seen.append((node, root, block, bands, size, (s, w)))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []
 
     n = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "block", "node").mapInArrow(run, "a binary, b binary")

@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so all empty ones are one class.  Rows that repeat an id are kept alike.  Null ids come first.
     An empty table gives no rows.  Other columns are not read."""
     sketches = materialise(_sketches(docs, id_col, text_col), "sketches")
-    nodes = sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     members = bucket_members(nodes.select(F.explode("bands").alias("band"), "node"))
     wanted = materialise(members.select("node").distinct().join(nodes.select("node", "id"), "node").select(F.col("node").alias("_node"), F.col("id").alias("_id")), "wanted")
     side = F.broadcast(wanted.select("_id").distinct()) if broadcastable(wanted, MOST_IDS) else wanted.select("_id").distinct()
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = link(members, sets, 1 - similarity)
     named = sketches.select("id", "node")
     if roots is not None:
-        named = named.join(materialise(roots.select(F.col("node").alias("_n"), "root"), "roots"), F.col("node") == F.col("_n"), "left").select("id", F.coalesce("root", "node").alias("node"))
+        named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("id", F.coalesce("root", "node").alias("node"))
     named = materialise(named, "named")
     classes = materialise(named.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_n"), F.col("first.id").alias("_first"), "n"), "classes")
     out = named.join(classes, F.col("node") == F.col("_n"), "left")
@@ -206,14 +206,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one document of each class, that of the least id; columns are as they were.
     Of rows that repeat an id one stays."""
     found = materialise(near_duplicates(docs, id_col, text_col, similarity), "near")
-    lost = found.where("not kept").select(F.col(id_col).alias("_lost")).distinct()
+    lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
     side = F.broadcast(lost) if broadcastable(lost, MOST_IDS) else lost
-    left = docs.join(side, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
-    again = found.where("kept and class_size > 1").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
+    left = docs.join(side, F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
+    again = found.where("kept and class_size > 1").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
     if again.limit(1).count():
         again = materialise(again, "again")
-        once = left.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([id_col])
-        left = left.join(again, F.col(id_col).eqNullSafe(F.col("_again")), "left_anti").unionAll(once)
+        once = left.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([id_col])
+        left = left.join(again, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti").unionAll(once)
     return left
 
 
