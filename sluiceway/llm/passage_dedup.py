@@ -29,7 +29,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 LINE_WORDS, RUN_WORDS = 50, 20
 BANDS, ROWS = 6, 2
 #: A piece begins at a word whose hash is the least of so many on either side.
-NEAR = 6
+NEAR = 3
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -141,7 +141,7 @@ def _line_classes(rows: DataFrame, kind: str, similarity: float) -> DataFrame:
     roots = link(members, materialise(every.dropDuplicates(["node"]), "sets"), 1 - similarity)
     named = found.select("id", "start", "end", "words", "node")
     if roots is not None:
-        named = named.join(materialise(roots.select(F.col("node").alias("_n"), "root"), "roots"), F.col("node") == F.col("_n"), "left").select("id", "start", "end", "words", F.coalesce("root", "node").alias("node"))
+        named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("id", "start", "end", "words", F.coalesce("root", "node").alias("node"))
     named = materialise(named, "named")
     classes = materialise(named.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select(F.col("node").alias("_n"), "first"), "classes")
     return named.join(classes, F.col("node") == F.col("_n")).select("id", "start", "end", "words", F.xxhash64("node").alias("class"), "first")
@@ -219,7 +219,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the passages that are marked as removed; other texts are as they were."""
-    spans = passages.where("removed").groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans = passages.where("removed").groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
 
     @F.pandas_udf("string")
     def without(text, spans):
@@ -237,8 +237,10 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.col(id_col) == F.col("_id"), "left")
-    return joined.select(*[without(F.col(c), F.col("_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    joined = plain.join(spans, F.col(f"c{names.index(id_col)}") == F.col("__id"), "left")
+    return joined.select(*[without(F.col(f"c{k}"), F.col("__spans")).alias(c) if c == text_col else F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
