@@ -183,9 +183,11 @@ def _piece_classes(rows: DataFrame, kind: str, run_words: int) -> DataFrame:
                     continue  # a row that repeats the id
                 if held is not None and held[0] == key and number == held[1] + 1 and (first == key) == (held[6] == key):
                     held[1], held[3], held[4] = number, end, held[4] + size
+                    if size > held[7]:  # the longest piece names the run, lest one that is met by chance do
+                        held[5], held[6], held[7] = name, first, size
                     continue
                 done()
-                held = [key, number, start, end, size, name, first]
+                held = [key, number, start, end, size, name, first, size]
             if len(out) > 10_000:
                 yield _spans(out, batch.schema.field(0).type)
                 out = []

@@ -42,7 +42,7 @@ def test_planted_passages(spark):
         hit = set().union(*(range(max(s, a), min(e, a + len(passage))) for s, e in own))
         assert len(hit) > 0.75 * len(passage)
         assert all(s >= a - 40 and e <= a + len(passage) + 40 for s, e in own)
-    assert {r.first_id for r in found} == {0, 1, 2} and all(r.removed == (r.doc_id > 2) for r in found)
+    assert {0, 1, 2} <= {r.first_id for r in found} <= {0, 1, 2, 6} and all(r.removed == (r.doc_id != r.first_id) for r in found)
     left = p.remove_passages(docs, p.repeated_passages(docs))
     assert left.columns == docs.columns
     out = {r.doc_id: r.text for r in left.collect()}
