@@ -150,12 +150,12 @@ def link(members: DataFrame, sets: DataFrame, most: float, rounds: int = ROUNDS)
             return roots
         lead = now.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead")).select(F.col("band").alias("_b"), F.col("lead.node").alias("leader"), F.col("lead.root").alias("leader_root"))
         led = materialise(now.join(lead, F.col("band") == F.col("_b")).where("node <> leader").drop("_b"), "led")
-        found = materialise(verify(led.where("root <> leader_root").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "verified")
+        # those of the leader's class too: a class grows by chains, so only the true distance says who may be done
+        found = materialise(verify(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "verified")
         roots = _merged(roots, found.where(F.col("d") <= most + 1e-12).select("a", "b"))
-        # a node of the leader's class with unknown distance counts as the farthest that a link allows
-        judged = led.join(found.select("a", "b", F.col("d").alias("dist")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left")
-        judged = materialise(judged.select("band", "node", F.coalesce("dist", F.lit(most)).alias("dist")), "judged")
-        far = judged.where(F.col("dist") > most + 1e-12).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
+        judged = led.join(found.select("a", "b", F.col("d").alias("dist")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")))
+        judged = materialise(judged.select("band", "node", "dist", (F.col("root") != F.col("leader_root")).alias("stranger")), "judged")
+        far = judged.where(F.col("stranger") & (F.col("dist") > most + 1e-12)).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
         left = materialise(judged.join(far, F.col("band") == F.col("_b")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node"), "left")
     now = materialise(_mixed(_rooted(left, roots)), "rooted")
     return _merged(roots, materialise(_blocks(now, sets, most), "links")) if now.limit(1).count() else roots

@@ -129,6 +129,30 @@ def test_no_link_of_a_large_bucket_is_lost(spark, rounds, monkeypatch):
     assert {n: got.get(n, n) for n in sets} == roots(sets, near)
 
 
+def test_a_chain_of_edits_keeps_its_links(spark):
+    l1 = set(range(100))
+    edited = lambda base, gone, new: (base - set(range(*gone))) | set(range(*new))
+    x, l2 = edited(l1, (0, 9), (200, 209)), edited(l1, (20, 29), (300, 309))
+    y = edited(x, (50, 60), (400, 410))
+    sets = {b"a": l1, b"b": l2, b"c": x, b"d": y}
+    r = random.Random(12)
+    for chain in range(6):  # each node is an edit of an earlier one, all of a chain in one bucket
+        own = [set(range(1000 * (chain + 1), 1000 * (chain + 1) + 100))]
+        for _ in range(24):
+            base = r.choice(own)
+            own.append((base - set(r.sample(sorted(base), 10))) | {r.randrange(10**6, 10**9) for _ in range(10)})
+        names = r.sample(range(256), 25)
+        sets |= {bytes([97 + chain, 0, k]): s for k, s in zip(names, own, strict=True)}
+    packed = [(n, *linking.pack(np.array(sorted(s), np.uint64), np.ones(len(s)))) for n, s in sets.items()]
+    members = [(n[0] if len(n) > 1 else 0, n) for n in sets]
+    near = [(a, b) for i, a in members for j, b in members if i == j and a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for rounds in (2, 4):
+        found = linking.link(spark.createDataFrame(members, "band long, node binary"), spark.createDataFrame(packed, "node binary, shingles binary, weights binary"), 0.2, rounds)
+        got = {bytes(q.node): bytes(q.root) for q in found.collect()}
+        assert got[b"d"] == b"a"
+        assert {n: got.get(n, n) for n in sets} == roots(sets, near)
+
+
 def test_distance_by_hand():
     p = lambda s, w: linking.pack(np.array(s, np.uint64), np.array(w))
     assert linking.distance(p([1, 2, 3], [1, 1, 1]), p([2, 3, 4], [1, 1, 1])) == 0.5
