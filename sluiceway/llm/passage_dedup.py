@@ -6,7 +6,8 @@ paragraphs are joined and verified by their exact Jaccard similarity, and connec
 are classes.  A passage may also stand inside a line, where no line break marks it; so texts
 are cut into short pieces at places that depend on the words nearby alone (a word whose hash is
 the least of its neighbourhood), wherever the passage stands.  Equal pieces in different
-documents are one class; they count where neighbours make up RUN_WORDS words or more.
+documents are one class; they count where neighbours make up RUN_WORDS words or more.  Inside
+a line a changed word thus breaks a passage, and shorter lines are not compared by similarity.
 
 Of each class the document of the least id keeps its text; the others lose theirs.
 """
