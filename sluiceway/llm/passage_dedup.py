@@ -172,11 +172,29 @@ def _piece_classes(rows: DataFrame, kind: str, run_words: int) -> DataFrame:
     known = materialise(maybe, "pieces").join(repeated, F.col("name") == F.col("_name")).select("id", "number", "start", "end", "words", "name", "first")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = None, []
+        held, short, out = None, [], []
+
+        def flush() -> None:
+            # what lies between whole runs: own pieces and those that an earlier document has, maybe by chance
+            total = sum(run[4] for run in short)
+            for end in (0, -1):
+                while short and short[end][6] != short[end][0] and total - short[end][4] >= run_words:
+                    total -= short.pop(end)[4]
+            own = [x for run in short if run[6] == run[0] for x in run[8]]
+            if own and total >= run_words:
+                out.append((short[0][0], short[0][2], short[-1][3], total, None, short[0][0], own))
+            short.clear()
 
         def done() -> None:
-            if held is not None and held[4] >= run_words:
-                out.append((held[0], held[2], held[3], held[4], held[5], held[6]))
+            if held is None:
+                return
+            if held[4] >= run_words:
+                flush()
+                out.append((held[0], held[2], held[3], held[4], held[5], held[6], None))
+                return
+            if short and (short[-1][0] != held[0] or short[-1][1] + 1 != held[9]):
+                flush()
+            short.append(held)
 
         for batch in batches:
             for key, number, start, end, size, name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -184,25 +202,34 @@ def _piece_classes(rows: DataFrame, kind: str, run_words: int) -> DataFrame:
                     continue  # a row that repeats the id
                 if held is not None and held[0] == key and number == held[1] + 1 and (first == key) == (held[6] == key):
                     held[1], held[3], held[4] = number, end, held[4] + size
+                    if held[4] < run_words:
+                        held[8].append(name)
                     if size > held[7]:  # the longest piece names the run, lest one that is met by chance do
                         held[5], held[6], held[7] = name, first, size
                     continue
                 done()
-                held = [key, number, start, end, size, name, first, size]
+                held = [key, number, start, end, size, name, first, size, [name], number]
             if len(out) > 10_000:
                 yield _spans(out, batch.schema.field(0).type)
                 out = []
         done()
+        flush()
         if out:
             yield _spans(out, pa.array([x[0] for x in out]).type)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return known.repartition(n, "id").sortWithinPartitions("id", "number").mapInArrow(runs, f"id {kind}, start int, end int, words int, class long, first {kind}")
+    found = known.repartition(n, "id").sortWithinPartitions("id", "number").mapInArrow(runs, f"id {kind}, start int, end int, words int, class long, first {kind}, own array<long>")
+    found = materialise(found, "runs")
+    # a broken run of own pieces is a passage where another document loses the run that such a piece names
+    lost = found.where("own is null and id <> first").select(F.col("class").alias("_class")).distinct()
+    broken = found.where("own is not null").select("id", "start", "end", "words", "first", F.explode("own").alias("name")).join(lost, F.col("name") == F.col("_class"))
+    kept = broken.groupBy("id", "start", "end", "words", "first").agg(F.min("name").alias("class"))
+    return found.where("own is null").drop("own").unionByName(kept)
 
 
 def _spans(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int32(), pa.int32(), pa.int32(), pa.int64(), kind]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "start", "end", "words", "class", "first"])
+    types = [kind, pa.int32(), pa.int32(), pa.int32(), pa.int64(), kind, pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "start", "end", "words", "class", "first", "own"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, run_words: int = RUN_WORDS) -> DataFrame:

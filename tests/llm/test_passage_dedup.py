@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from sluiceway.llm import passage_dedup as p
@@ -75,3 +76,27 @@ def test_within_one_document_nothing_repeats(spark, same):
 
 def test_empty_table(spark):
     assert p.repeated_passages(empty(spark)).count() == 0
+
+
+def test_the_keeper_has_a_row_though_an_earlier_document_breaks_its_run(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    while True:
+        passage = text(40)
+        keeper, other = f"{text(30)} {passage} {text(30)}", f"{text(30)} {passage} {text(30)}"
+        _, _, owner, _, start, end, size, name = p.cut(pa.array([keeper, other]))
+        shared = [k for k in range(len(name)) if owner[k] == 0 and name[k] in name[owner == 1]]
+        at = len(shared) // 2
+        sides = size[shared[:at]].sum(), size[shared[at + 1 :]].sum()
+        if max(sides) >= p.RUN_WORDS or min(sides) < 9 or size[shared[at]] >= size[shared].max():
+            continue
+        k = shared[at]
+        chance = f"{text(30)} {keeper[start[k] - 28 : end[k] + 28]} {text(30)}"
+        again = p.cut(pa.array([chance]))[7]
+        if [x for x in shared if name[x] in again] == [k]:
+            break
+    found = p.repeated_passages(awkward(spark, [(0, chance), (1, keeper), (2, other)])).collect()
+    assert sorted((q.doc_id, q.first_id, q.removed) for q in found) == [(1, 1, False), (2, 1, True)]
+    assert len({q.class_id for q in found}) == 1
+    own = next(q for q in found if q.doc_id == 1)
+    assert keeper[own.start : own.end] in passage and own.n_words >= p.RUN_WORDS
