@@ -253,20 +253,36 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _fill(rows: list[tuple], most_bytes: int) -> list:
+    """Ids of rows (id, label, bytes), in their order, that most_bytes hold; see train."""
+    total, left, taken = {True: 0, False: 0}, [], []
+    for row in rows:
+        if total[row[1]] + row[2] <= most_bytes // 2:
+            total[row[1]] += row[2]
+            taken.append(row)
+        else:
+            left.append(row)
+    room = most_bytes - sum(total.values())
+    for row in left:
+        if row[2] <= room:
+            room -= row[2]
+            taken.append(row)
+    for label in {row[1] for row in rows} - {row[1] for row in taken}:
+        taken.append(min((row for row in rows if row[1] == label), key=lambda row: row[2]))
+    return [row[0] for row in taken]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fit to a sample of labelled rows that are not held out: at most most_docs of either label
-    in the order of a hash of the id, and of those as many whole texts as most_bytes hold."""
+    in the order of a hash of the id, and of those as many whole texts as most_bytes hold: half of
+    it for either label, and what one label leaves for the other.  A text that does not fit is
+    passed over; of a label of which none fits, the shortest is taken."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col)) > 0).alias("_y"))
     order = F.xxhash64("_id", F.lit(17))
     sample = known.where("_y").orderBy(order).limit(most_docs).unionAll(known.where("not _y").orderBy(order).limit(most_docs))
     chosen = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).where("_t is not null").join(F.broadcast(sample), F.col("_d") == F.col("_id"))
-    sizes = sorted(chosen.select("_id", order.alias("h"), F.octet_length("_t").alias("n")).collect(), key=lambda r: (r.h, r.n))
-    total, ids = 0, []
-    for row in sizes:
-        total += row.n
-        if total > most_bytes and ids:
-            break
-        ids.append((row._id,))
+    sizes = chosen.groupBy("_id", "_y").agg(F.sum(F.octet_length("_t")).alias("n")).select("_id", "_y", "n", order.alias("h")).collect()
+    ids = [(k,) for k in _fill([(r._id, r._y, r.n) for r in sorted(sizes, key=lambda r: r.h)], most_bytes)]
     if not ids:
         return fit([], [])
     kept = docs.sparkSession.createDataFrame(ids, f"_k {docs.schema[id_col].dataType.simpleString()}").distinct()

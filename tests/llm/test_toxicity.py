@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sluiceway.llm import toxicity as t
 
@@ -76,6 +77,19 @@ def test_labels_of_one_kind_or_none(spark):
     assert t.train(awkward(spark), labels).document[1] == 0
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    rows = [(k, ("vile scum " if k % 2 else "fine day ") * 5) for k in range(40)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k, _ in rows], LABELS)
+    expected = t.train(awkward(spark, rows), labels, most_bytes=4000)
+    assert expected.document[1] != 0
+    fitted = [r.doc_id for r in labels.where(~t.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(17))).collect()]
+    long = [(k, text + "w " * 4000 if k == fitted[0] else text) for k, text in rows]
+    got = t.train(awkward(spark, long), labels, most_bytes=4000)
+    assert got.document[1] != 0
+    assert t._fill([(1, True, 99), (2, True, 30), (3, True, 30), (4, False, 30), (5, False, 10)], 100) == [2, 4, 5, 3]
+    assert t._fill([(1, True, 300), (2, True, 200), (3, False, 30)], 100) == [3, 2]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
