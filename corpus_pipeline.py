@@ -35,8 +35,9 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the bytes at which tokens begin, of every whole text."""
-    return byte_bpe.encode(docs, byte_bpe.vocabulary()).select("doc_id", F.col("n_tokens"), "ids", "starts")
+    """doc_id, n_tokens, ids and the bytes at which tokens begin, of every whole text;
+    the ids are decoded here and held against the text, and a difference stops the run."""
+    return byte_bpe.encode(docs, byte_bpe.vocabulary(), decoded=True).select("doc_id", F.col("n_tokens"), "ids", "starts")
 
 
 STAGES = [

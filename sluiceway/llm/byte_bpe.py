@@ -268,9 +268,18 @@ def encode_batch(data: np.ndarray, offsets: np.ndarray, path: str):
     return ids, inverse, firsts, begin
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hold(ids: np.ndarray, per: np.ndarray, data: np.ndarray, offsets: np.ndarray, table: Ranks) -> None:
+    """Decodes the ids of every text and holds them against its bytes; a difference is an error."""
+    vocabulary, whole, flat = table.bytes, data.tobytes(), ids.tolist()
+    for a, b, start, end in zip(per[:-1].tolist(), per[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if b"".join([vocabulary[i] for i in flat[a:b]]) != whole[start:end]:
+            raise ValueError("a text is not what its ids decode to")
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids, starts (bytes at which tokens begin).
-    Null texts, as empty ones, have no tokens; other columns are not read."""
+    Null texts, as empty ones, have no tokens; other columns are not read.  If `decoded`, the ids
+    of every text are decoded too, and an error is raised if that does not give the text."""
     _check(docs, path)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -285,6 +294,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         ids = flat[np.repeat(base[inverse] - ends[:-1], n) + np.arange(ends[-1])]
         sizes = _sizes(table)[ids].astype(np.int64)
         per = ends[firsts]
+        if decoded:
+            hold(ids, per, data, offsets, table)
         starts = np.cumsum(sizes) - sizes - np.repeat(offsets[:-1], np.diff(per))
         lists = lambda values: pa.ListArray.from_arrays(pa.array(per, pa.int32()), values)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(per), pa.int64()), lists(pa.array(ids, pa.int32())), lists(pa.array(starts, pa.int32()))], ["id", "n_tokens", "ids", "starts"])

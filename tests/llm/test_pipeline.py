@@ -1,5 +1,8 @@
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
-from sluiceway.llm import toxicity
+from sluiceway.llm import byte_bpe, toxicity
 from sluiceway.llm.common import read_table
 
 from .awkward import awkward, empty
@@ -31,3 +34,28 @@ def test_each_stage_takes_awkward_rows_and_none(spark):
             out = stage(spark, docs, SF)
             assert out.columns == (["doc_id", "n_tokens", "ids", "starts"] if name == corpus_pipeline.STAGES[-1][0] else docs.columns)
             assert out.count() <= docs.count()
+
+
+def test_the_last_stage_decodes_its_ids(monkeypatch):
+    runs = []
+    monkeypatch.setattr(byte_bpe, "map_arrow", lambda rows, run, schema, text: runs.append(run) or rows)
+    corpus_pipeline.token_ids(None, Rows(), SF)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": ["naïve words, twice", None, "", "and words"]})
+    out = next(iter(runs[0](batch)))
+    assert out.column(2).to_pylist() == [TABLE.encode_ordinary(x or "") for x in batch.column(1).to_pylist()]
+    right = byte_bpe.encode_batch
+
+    def wrong(*args):
+        ids, *rest = right(*args)
+        return [[*ids[0][:-1], ids[0][-1] + 1], *ids[1:]], *rest
+
+    monkeypatch.setattr(byte_bpe, "encode_batch", wrong)
+    with pytest.raises(ValueError, match="decode"):
+        next(iter(runs[0](batch)))
+
+
+class Rows:
+    """As much of a DataFrame as a stage touches before its rows are read."""
+
+    schema = type("Schema", (), {"__getitem__": lambda self, k: type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "bigint"})()})()})()
+    select = withColumnRenamed = lambda self, *names: self
