@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, raw, read_table, span_hash
+from .common import map_arrow, raw, read_table, span_keys
 
 #: Pieces that a worker remembers.
 CACHE = 400_000
@@ -241,20 +241,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One index for each different piece, and which of these every piece is.  Pieces up to 7
     bytes are told apart by their bytes, longer ones by a hash, then by both their ends."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
-    first = eight[begin]
-    short = size < 8
-    keys = np.where(short, first & ((np.uint64(1) << (np.uint64(8) * np.minimum(size, 7).astype(np.uint64))) - np.uint64(1)) | size.astype(np.uint64) << np.uint64(56), np.uint64(0))
-    long = np.flatnonzero(~short)
-    keys[long] = span_hash(data, begin[long], begin[long] + size[long]) >> np.uint64(4) | np.uint64(0xF << 60)
+    keys, first, last = span_keys(data, begin, size)
     _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
     inverse = inverse.ravel()
-    if len(long):
-        rep = index[inverse[long]]
-        last = eight[begin[long] + size[long] - 8]
-        if not ((size[rep] == size[long]) & (first[rep] == first[long]) & (eight[begin[rep] + size[rep] - 8] == last)).all():
-            return np.arange(len(begin)), np.arange(len(begin))
+    rep = index[inverse]
+    if not ((size[rep] == size) & (first[rep] == first) & (last[rep] == last)).all():
+        return np.arange(len(begin)), np.arange(len(begin))
     return index, inverse
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,32 +16,76 @@ from pyspark.sql import functions as F
 
 #: Text that a worker handles at once; one document is never cut, however long.
 SLICE_BYTES = 2 << 20
+MOST_TASKS = 50_000
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark itself takes it: without a scheme it is on the default file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only
-    where it is unset another is taken: a temporary folder in local mode, the
-    warehouse (which a cluster shares) otherwise."""
+    """This application's folder in the one that driver and executors share: ``spark.checkpoint.dir``.
+    Only where that is unset another is taken: a temporary folder in local mode, the warehouse
+    (which a cluster shares) otherwise.  It goes when the application ends."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        path = f"file://{tempfile.mkdtemp(prefix='sluiceway-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sluiceway"
+        path = f"file://{tempfile.mkdtemp(prefix='sluiceway-')}" if _local(spark) else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sluiceway"
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    own = f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _OWN[own] = files.makeQualified(where).toString()
+    return _OWN[own]
+
+
+_OWN: dict[str, str] = {}
+#: Paths written since each `scratch` was opened, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage is cut,
-    and the loss of an executor costs nothing of what is written."""
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: the lineage is cut, and the
+    loss of an executor costs nothing of what is written.  The table lasts as long as the innermost
+    `scratch` in which it is written, with `keep` as the one around that."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within, but for those kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A short list of things to read, a task for each: partitions by number are not merged for
+    being small.  Rows beyond MOST_TASKS share tasks, neighbours by key."""
+    return df.repartitionByRange(max(1, min(rows, MOST_TASKS)), *keys)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -155,6 +200,23 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
 
 
+def span_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key of 64 bits for every span, and its first and last eight bytes (a shorter one: all of
+    it, twice).  Spans up to seven bytes have keys of their own; of longer ones two different
+    spans with equal keys, lengths and ends are left to chance."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    first = eight[start]
+    short = size < 8
+    mask = (np.uint64(1) << (np.uint64(8) * np.minimum(size, 7).astype(np.uint64))) - np.uint64(1)
+    first = np.where(short, first & mask, first)
+    keys, last = first | size.astype(np.uint64) << np.uint64(56), first.copy()
+    long = np.flatnonzero(~short)
+    keys[long] = span_hash(data, start[long], start[long] + size[long]) >> np.uint64(4) | np.uint64(0xF << 60)
+    last[long] = eight[start[long] + size[long] - 8]
+    return keys, first, last
+
+
 _SCRAMBLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 

@@ -23,8 +23,11 @@ def open_read(uri: str):
 
 
 def _place(uri: str):
-    if urlparse(uri).scheme in ("", "file"):
-        return None, unquote(urlparse(uri).path) if uri.startswith("file:") else uri
+    kind = urlparse(uri).scheme
+    if not kind:
+        raise ValueError(f"{uri} has no scheme: the driver qualifies paths, lest each executor take them for its own disk")
+    if kind == "file":
+        return None, unquote(urlparse(uri).path)
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)

@@ -28,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary, materialise, new_path, read_table, slices
+from .common import dealt, map_arrow, materialise, new_path, qualified, raw, read_table, span_keys
 from .store import open_read, open_write
 
-BLOCK_BYTES, SHARD_BYTES = 64 << 10, 256 << 20
+#: A shard ends at so many bytes or documents, whose keys are held until then.
+BLOCK_BYTES, SHARD_BYTES, SHARD_DOCS = 64 << 10, 256 << 20, 1 << 20
 BITS_PER_KEY, PROBES = 10, 7
 FOOTER = struct.Struct("<QQQQQQQ8s8s")
 MAGIC = b"SORTTOK1"
-#: Chunks of text that a worker remembers.
-CACHE = 1_200_000
+#: What a worker remembers of texts that it has encoded.
+CACHE_BYTES = 48 << 20
 END_ID = 1
 
 
@@ -177,65 +178,136 @@ class ShardReader:
         self.file.close()
 
 
+def _edges() -> np.ndarray:
+    """Whether text may be cut between two bytes, by their kinds: beside blanks, and where the
+    tokenizer's own pattern parts ASCII letters, digits and marks whatever stands around them."""
+    cut = np.zeros((8, 8), bool)
+    for a, afters in ((_BLANK, range(1, 6)), (_LETTER, (_DIGIT, _MARK, _APOSTROPHE)), (_DIGIT, (_LETTER, _DIGIT, _MARK, _APOSTROPHE)), (_MARK, (_LETTER, _DIGIT))):
+        for b in afters:
+            cut[a, b] = True
+    return cut.ravel()
+
+
+_BLANK, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _WIDE = range(6)
+_KIND = np.full(256, _WIDE, np.uint8)
+for _c in range(128):
+    _KIND[_c] = _BLANK if _c in (9, 10, 11, 12, 13, 32) else _APOSTROPHE if _c == 39 else (_LETTER if chr(_c).isalpha() else _DIGIT) if chr(_c).isalnum() else _MARK
+_EDGES = _edges()
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of texts that are encoded by themselves begin and end (bytes)."""
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    kind = _KIND[data]
+    inside = kind != _BLANK
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    begin = np.empty(len(data), bool)
+    begin[1:] = _EDGES[kind[:-1] << 3 | kind[1:]]
+    begin[firsts] = inside[firsts]
+    last = inside.copy()
+    last[:-1] &= begin[1:] | ~inside[1:]
+    last[firsts[firsts > 0] - 1] = inside[firsts[firsts > 0] - 1]
+    return np.flatnonzero(begin), np.flatnonzero(last) + 1
+
+
 class Encoder:
-    """The tokenizer over chunks between ASCII blanks, which its own rules drop and never cross.
+    """The tokenizer over parts of texts, each different one encoded once and remembered.
 
-    Each different chunk is encoded once and remembered.  Its rules also make ASCII letters small
-    and part a word from ASCII marks at its end, so chunks are remembered without those.  New ones
-    are encoded many at a time, and the places of the ids tell whose they are."""
+    Its own rules drop blanks, make letters small and part ASCII letters, digits and marks, so texts
+    are cut there.  What is remembered stands in arrays sorted by a hash, with length and both ends
+    to tell equal hashes apart, and never takes more than CACHE_BYTES: all is forgotten beyond.
+    New parts are encoded many at a time, and the places of the ids tell whose they are."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # where a special token may stand, capitals matter
-        chunks = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        wanted = set().union(*chunks)
-        if len(self.cache) + len(wanted) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = wanted - cache.keys()
-        parted = {c: at for c in new if (at := self._tail(c))}
-        parts = new - parted.keys()
-        for c, at in parted.items():
-            parts.add(c[:at])
-            parts.add(c[at:])
-        self._learn(parts - cache.keys())
-        for c, at in parted.items():
-            cache[c] = cache[c[:at]] + cache[c[at:]]
-        out = [b"".join(map(cache.__getitem__, x)) for x in chunks]
-        if len(cache) > CACHE:
-            cache.clear()
+        self.most_bytes = most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        # hash, first and last eight bytes, length, place and number of ids
+        self.known = [np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.ids = np.empty(0, f"<u{self.id_bytes}")
+
+    @property
+    def bytes_held(self) -> int:
+        return sum(x.nbytes for x in self.known) + self.ids.nbytes
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text, as little-endian numbers of id_bytes."""
+        data, offsets = raw(column)
+        whole = data.tobytes()
+        # where a special token may stand, capitals and marks matter
+        special = [k for k in range(len(column)) if whole.find(b"<|", int(offsets[k]), int(offsets[k + 1])) >= 0] if b"<|" in whole else []
+        start, end = chunks(data, offsets)
+        if special:
+            doc = np.searchsorted(offsets, start, "right") - 1
+            plain = ~np.isin(doc, special)
+            start, end = start[plain], end[plain]
+        small = _SMALL[data]
+        count, place = self._find(small, start, end)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(place - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        at = (ends[np.searchsorted(start, offsets)] * self.id_bytes).tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for k in special:
+            parts = whole[offsets[k] : offsets[k + 1]].split()
+            out[k] = self._fresh(parts)[0].tobytes()
+        if self.bytes_held > self.most_bytes:
+            self._forget()
         return out
 
-    @staticmethod
-    def _tail(chunk: bytes) -> int:
-        """Where marks at the end of a word begin: after an ASCII or Latin-1 letter, or a digit; 0 if it has none."""
-        at = len(chunk.rstrip(_MARKS))
-        if at == len(chunk) or not at or b"<|" in chunk:
-            return 0
-        last = chunk[at - 1 : at] if chunk[at - 1] < 128 else chunk[max(0, at - 2) : at]
-        return at if last.isalnum() or (len(last) == 2 and last[0] == 0xC3 and last[1] not in (0x97, 0xB7)) else 0
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks)
-        for k in range(0, len(new), 500):
-            part = new[k : k + 500]
-            text = b"\n".join(part).decode()
+    def _find(self, small: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and place of the ids of every part; new ones are learnt."""
+        if not len(start):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        size = end - start
+        key, first, last = span_keys(small, start, size)
+        _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        same = lambda a, b: (first[a] == b[0]) & (last[a] == b[1]) & (size[a] == b[2])
+        every = np.arange(len(start))
+        unlike = ~same(every, (first[index][inverse], last[index][inverse], size[index][inverse]))
+        at = np.minimum(np.searchsorted(self.known[0], key[index]), max(0, len(self.known[0]) - 1))
+        if len(self.known[0]):
+            hit = self.known[0][at] == key[index]
+            odd = hit & ~same(index, tuple(x[at] for x in self.known[1:4]))
+        else:
+            hit = odd = np.zeros(len(index), bool)
+        if unlike.any() or odd.any():  # a hash that two parts share: nothing is looked up or remembered
+            return self._append([small[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        count, place = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        count[hit], place[hit] = (self.known[5][at[hit]], self.known[4][at[hit]]) if hit.any() else (0, 0)
+        new = index[~hit]
+        if len(new):
+            count[~hit], place[~hit] = self._append([small[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            where = np.searchsorted(self.known[0], key[new])
+            rows = (key[new], first[new], last[new], size[new], place[~hit], count[~hit])
+            self.known = [np.insert(x, where, y) for x, y in zip(self.known, rows, strict=True)]
+        return count[inverse], place[inverse]
+
+    def _append(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, count = self._fresh(parts)
+        place = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids])
+        return count, place
+
+    def _fresh(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, from the tokenizer itself, and how many each has."""
+        ids, counts = [np.empty(0, self.ids.dtype)], [np.empty(0, np.int64)]
+        for k in range(0, len(parts), 500):
+            text = b"\n".join(parts[k : k + 500]).decode()
             found = self.tokenizer.encode(text, add_special_tokens=False)
             breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 10)
-            first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ids = np.array(found.ids, f"<u{self.id_bytes}").tobytes()
-            at = (np.searchsorted(first, np.concatenate([[0], breaks, [len(text)]])) * self.id_bytes).tolist()
-            self.cache.update(zip(part, [ids[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-
-
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+            first = np.array([a for a, _ in found.offsets], np.int64)
+            ids.append(np.array(found.ids, self.ids.dtype))
+            counts.append(np.diff(np.searchsorted(first, breaks), prepend=0, append=len(first)))
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 @cache
@@ -248,23 +320,32 @@ def write_shards(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", te
     file, n_docs, n_tokens, start (tokens of all shards before).
 
     Null texts are empty (only the end id); null ids come first; rows with equal ids stand
-    together, in the order of a hash of their texts.  An empty table gives no shard."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    n = partitions or max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, F.asc_nulls_first("id"), "_tie").sortWithinPartitions(F.asc_nulls_first("id"), "_tie").select("id", "text")
+    together, in the order of a hash of their texts.  An empty table gives no shard.  Texts are
+    encoded where they are read; only ids are sorted.  Other columns are not read."""
+    spark, to = docs.sparkSession, qualified(docs.sparkSession, to)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", "text", F.xxhash64("text").alias("tie"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = encoder(path)
         end = b"" if end_id is None else end_id.to_bytes(table.id_bytes, "little")
-        writer, done = None, []
+        ids = [x + end for x in table.encode(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "tie", "size", "ids"])
+
+    encoded = materialise(map_arrow(rows, encode, f"id {kind}, tie long, size long, ids binary", 1), "ids")
+    total = encoded.agg(F.sum("size").alias("n")).first().n or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    ranged = encoded.select("id", "tie", "ids").repartitionByRange(n, F.asc_nulls_first("id"), "tie").sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_bytes, writer, done = encoder(path).id_bytes, None, []
         for batch in batches:
-            for part in slices(batch, 1):
-                for key, ids in zip(part.column(0).to_pylist(), table.encode(binary(part.column(1)).to_pylist()), strict=True):
-                    writer = writer or ShardWriter(f"{to}/{uuid.uuid4().hex}.sst", table.id_bytes)
-                    writer.add(key_of(key), ids + end)
-                    if writer.at >= SHARD_BYTES:
-                        done.append(writer.close())
-                        writer = None
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer = writer or ShardWriter(f"{to}/{uuid.uuid4().hex}.sst", id_bytes)
+                writer.add(key_of(key), ids)
+                if writer.at >= SHARD_BYTES or writer.docs >= SHARD_DOCS:
+                    done.append(writer.close())
+                    writer = None
         if writer:
             done.append(writer.close())
         if done:
@@ -278,7 +359,9 @@ def write_shards(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", te
 
 
 def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
-    """One row per document: id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian numbers)."""
+    """One row per document: id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian
+    numbers).  Shards are dealt to as many tasks as there are shards; an empty list gives no rows,
+    a null or missing file and a damaged block are errors."""
     text = id_type == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +379,8 @@ def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
                 if rows:
                     yield _rows(rows, text)
 
-    return shards.select("file", "start").repartition("file").mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long")
+    listed = materialise(shards.select("file", "start"), "listed")
+    return dealt(listed, listed.count(), "file").mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple], text: bool) -> pa.RecordBatch:

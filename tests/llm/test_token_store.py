@@ -1,11 +1,14 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluiceway.llm import token_store as s
-from sluiceway.llm.common import new_path
+from sluiceway.llm.common import new_path, span_keys
 
 from .awkward import TEXTS, awkward, empty
 
@@ -37,12 +40,12 @@ def test_the_encoder_as_the_library(spark, table):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()
     texts = [r.text for r in docs]
     own = s.Encoder(PATH)
-    got = [np.frombuffer(x, f"<u{own.id_bytes}").tolist() for x in own.encode([t.encode() for t in texts])]
+    got = [np.frombuffer(x, f"<u{own.id_bytes}").tolist() for x in own.encode(pa.array(texts))]
     assert got == [x.ids for x in table.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_lookup(tmp_path):
-    uri = str(tmp_path / "a.sst")
+    uri = f"file://{tmp_path}/a.sst"
     writer = s.ShardWriter(uri, 2)
     keys = [None, -5, *range(0, 9000, 3), 9000, 9000, 2**62]
     for k in keys:
@@ -61,9 +64,41 @@ def test_lookup(tmp_path):
     data[100] ^= 1
     (tmp_path / "b.sst").write_bytes(data)
     with pytest.raises(ValueError, match="damaged"):
-        list(s.ShardReader(str(tmp_path / "b.sst")))
+        list(s.ShardReader(f"file://{tmp_path}/b.sst"))
 
 
 def test_text_keys_sort_and_empty_table(spark, tmp_path):
     assert sorted([s.key_of(x) for x in ("b", "a", "aa", None)]) == [s.key_of(x) for x in (None, "a", "aa", "b")]
     assert s.read_shards(s.write_shards(empty(spark), PATH, new_path(spark, "sst"))).count() == 0
+
+
+def test_cuts_and_forgetting_change_no_id(table):
+    r = random.Random(31)
+    signs = [*"abzAZ019'\"-.,;:!?()<|> \t\n\x0b\x1c\x7f_@$", "'s", "'re", "'LL", "don't", "é", "e\u0301", "\u0338", "=\u0338", "K", ";", "ß", "İ", "Σ", "漢", "½", "٣", "🙂", "\u00a0", "\u3000", "<|endoftext|>", "abcdefghijklmnop", "straße"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(40))) for _ in range(3000)]
+    expected = [x.ids for x in table.encode_batch(texts, add_special_tokens=False)]
+    for most in (0, 20_000, 48 << 20):
+        own = s.Encoder(PATH, most)
+        for k in range(0, 3000, 500):
+            got = [np.frombuffer(x, f"<u{own.id_bytes}").tolist() for x in own.encode(pa.array(texts[k : k + 500]))]
+            assert got == expected[k : k + 500]
+            assert own.bytes_held <= most
+
+
+def test_hashes_that_two_parts_share(monkeypatch, table):
+    monkeypatch.setattr(s, "span_keys", lambda data, start, size: (np.zeros(len(start), np.uint64), *span_keys(data, start, size)[1:]))
+    own = s.Encoder(PATH)
+    for text in ("one", "two words", "one two one"):
+        assert np.frombuffer(own.encode(pa.array([text]))[0], "<u2").tolist() == table.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_are_read_by_many_tasks(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(500)], "doc_id long, text string")
+    found = s.read_shards(s.write_shards(docs, PATH, new_path(spark, "sst"), partitions=9))
+    tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) == 9
+
+
+def test_a_path_without_a_scheme_is_no_path_of_an_executor():
+    with pytest.raises(ValueError, match="scheme"):
+        s.ShardReader("/user/somebody/a.sst")
