@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a worker handles at once; one document is never cut, however long.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Text and other data that Spark hands to a worker at once, where the session does not say.
+ARROW_BYTES = 8 << 20
 MOST_TASKS = 50_000
 
 
@@ -125,8 +127,13 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, text: int | None = None) -> DataFrame:
     """mapInArrow over batches, cut to bounded slices by the text column if one is named."""
+    if df.sparkSession.conf.get(_ARROW, None) is None:
+        df.sparkSession.conf.set(_ARROW, str(ARROW_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
