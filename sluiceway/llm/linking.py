@@ -4,8 +4,13 @@ Nodes are distinct texts, named by a digest.  In each bucket of a band one node
 others are compared with it, exactly.  Then the leader is done there, and so is every node that
 the triangle inequality of the Jaccard distance (weighted or not, it is a metric) lets nobody
 link to who is not in its class already; the rest go on with the next leader.  What is left
-after ROUNDS of these, buckets of many texts that are not alike, is compared block by block
-inside tasks, which return links only.  No pair that a bucket holds is left out.
+after ROUNDS of these, buckets of many texts that are not alike, is parted further: two sets
+that are alike share one of the rarest elements of either, so nodes are dealt by those, and only
+they are compared, block by block inside tasks, which return links only.  No pair that a bucket
+holds is left out.
+
+A bucket may hold a third of all nodes.  What there is once for a band is broadcast up to
+MOST_BUCKETS rows, counted first; beyond that the members of a band are spread over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -17,24 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcastable, materialise
+from .common import broadcastable, materialise, scratch
 
 ROUNDS = 2
 #: Nodes in a block of the last comparison.
 BLOCK = 128
-MOST_BUCKETS = 400_000
+MOST_BUCKETS = 200_000
+#: Tasks that the members of one band are spread over.
+SALTS = 16
 #: Edges whose components one task finds.
 MOST_EDGES = 500_000
 
 
 def pack(shingles: np.ndarray, weights: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted 32-bit shingles, and their weights unless all are one."""
-    return shingles.astype("<u4").tobytes(), b"" if (weights == 1).all() else weights.astype("<u4").tobytes()
+    """Sorted 64-bit shingles, and their weights unless all are one."""
+    return shingles.astype("<u8").tobytes(), b"" if (weights == 1).all() else weights.astype("<u4").tobytes()
 
 
 def distance(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
     """1 - weighted Jaccard similarity of two packed sets; two empty ones are alike."""
-    x, y = np.frombuffer(a[0], "<u4"), np.frombuffer(b[0], "<u4")
+    x, y = np.frombuffer(a[0], "<u8"), np.frombuffer(b[0], "<u8")
     if not len(x) or not len(y):
         return float(len(x) != len(y))
     at = np.searchsorted(y, x)
@@ -49,11 +56,20 @@ def distance(a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
     return 1 - both / int(u.sum() + v.sum() - both)
 
 
+def with_band(members: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """members joined with `side`, a written table of one row a band (its key named _b), so that no
+    task gets all of a hot band."""
+    if broadcastable(side, MOST_BUCKETS):
+        return members.join(F.broadcast(side), F.col("band") == F.col("_b"), how).drop("_b")
+    spread = side.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, (F.col("band") == F.col("_b")) & (F.col("_s") == F.col("_t")), how).drop("_b", "_s", "_t")
+
+
 def bucket_members(bands: DataFrame) -> DataFrame:
     """(band, node) of the buckets that more than one node has; `bands` is (band, node), distinct."""
-    many = materialise(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("_band")), "buckets")
-    side = F.broadcast(many) if broadcastable(many, MOST_BUCKETS) else many
-    return materialise(bands.join(side, F.col("band") == F.col("_band"), "left_semi"), "members")
+    many = materialise(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("_b")), "buckets")
+    return materialise(with_band(bands, many, "left_semi"), "members")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,9 +144,9 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one class."""
-    several = members.groupBy("band").agg((F.min("root") != F.max("root")).alias("_mixed")).where("_mixed").select(F.col("band").alias("_b"))
-    return members.join(several, F.col("band") == F.col("_b"), "left_semi")
+    """Members (band, node, root) of buckets that hold more than one class."""
+    several = materialise(members.groupBy("band").agg((F.min("root") != F.max("root")).alias("_mixed")).where("_mixed").select(F.col("band").alias("_b")), "mixed")
+    return materialise(with_band(members, several, "left_semi"), "rooted")
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -142,27 +158,80 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 def link(members: DataFrame, sets: DataFrame, most: float, rounds: int = ROUNDS) -> DataFrame | None:
     """Roots (node, root) of the classes of nodes that are joined by links of distance `most` or
-    less within buckets; None if there is no link."""
-    roots, left = None, members
-    for _ in range(rounds):
-        now = materialise(_mixed(_rooted(left, roots)), "rooted")
-        if not now.limit(1).count():
-            return roots
-        lead = now.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead")).select(F.col("band").alias("_b"), F.col("lead.node").alias("leader"), F.col("lead.root").alias("leader_root"))
-        led = materialise(now.join(lead, F.col("band") == F.col("_b")).where("node <> leader").drop("_b"), "led")
-        # those of the leader's class too: a class grows by chains, so only the true distance says who may be done
-        found = materialise(verify(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "verified")
-        roots = _merged(roots, found.where(F.col("d") <= most + 1e-12).select("a", "b"))
-        judged = led.join(found.select("a", "b", F.col("d").alias("dist")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")))
-        judged = materialise(judged.select("band", "node", "dist", (F.col("root") != F.col("leader_root")).alias("stranger")), "judged")
-        far = judged.where(F.col("stranger") & (F.col("dist") > most + 1e-12)).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
-        left = materialise(judged.join(far, F.col("band") == F.col("_b")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node"), "left")
-    now = materialise(_mixed(_rooted(left, roots)), "rooted")
-    return _merged(roots, materialise(_blocks(now, sets, most), "links")) if now.limit(1).count() else roots
-
-
-def _blocks(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
-    """Links between nodes of different classes in one bucket, found block against block.
+    less within buckets; None if there is no link.
+
+    `members` is (band, node), `sets` (node, shingles, weights); both must be written tables.
+    Nodes without a set have no links.  Without members, or if each bucket has one node, there is none."""
+    spark, roots, left = members.sparkSession, None, members
+    with scratch(spark):
+        for _ in range(rounds):
+            now = _mixed(_rooted(left, roots))
+            if not now.limit(1).count():
+                break
+            roots, left = _round(now, roots, sets, most)
+        now = _mixed(_rooted(left, roots))
+        if now.limit(1).count():
+            roots = _merged(roots, materialise(_blocks(_rare(now, sets, most), now, sets, most), "links"))
+        return None if roots is None else materialise(roots, "roots", keep=True)
+
+
+def _round(now: DataFrame, roots: DataFrame | None, sets: DataFrame, most: float) -> tuple[DataFrame | None, DataFrame]:
+    """One leader for every bucket: the classes after it, and the members that are not done."""
+    lead = now.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead")).select(F.col("band").alias("_b"), F.col("lead.node").alias("leader"), F.col("lead.root").alias("leader_root"))
+    led = materialise(with_band(now, materialise(lead, "leaders")).where("node <> leader"), "led")
+    # those of the leader's class too: a class grows by chains, so only the true distance says who may be done
+    found = materialise(verify(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets), "verified")
+    roots = _merged(roots, found.where(F.col("d") <= most + 1e-12).select("a", "b"))
+    judged = led.join(found.select("a", "b", F.col("d").alias("dist")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")))
+    judged = materialise(judged.select("band", "node", "dist", (F.col("root") != F.col("leader_root")).alias("stranger")), "judged")
+    far = judged.where(F.col("stranger") & (F.col("dist") > most + 1e-12)).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
+    left = with_band(judged, materialise(far, "far")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node")
+    return roots, materialise(left, "left")
+
+
+def _rare(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
+    """(band, node, root) for every element of a node's set that another like it must share one of:
+    the band here is the element.
+
+    Elements stand in the order of how many of these nodes have them, rare ones first.  Let e be
+    the first that two sets share: all that they have in common stands at e or after it, so what a
+    set weighs from e on is the share 1 - most of its whole weight or more.  Of those who meet at e
+    one goes if the lightest of them is too heavy for it: both weights from e on must reach
+    (1 - most) / (2 - most) of the sum of both whole weights."""
+    t = 1 - most - 1e-9
+    nodes = materialise(members.select("node", "root").distinct(), "nodes")
+    own = nodes.select(F.col("node").alias("_n"), "root")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(s, "<i8")
+                u = np.frombuffer(w, "<u4").astype(np.int64) if w else np.ones(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(x), pa.binary()), pa.array(x), pa.array(u)], ["node", "e", "w"])
+
+    elements = materialise(sets.join(own.select("_n"), F.col("node") == F.col("_n"), "left_semi").select("node", "shingles", "weights").mapInArrow(parts, "node binary, e long, w long"), "elements")
+    shared = materialise(elements.groupBy("e").count().where("count > 1").select(F.col("e").alias("_e"), F.col("count").alias("n")), "shared")
+    side = F.broadcast(shared) if broadcastable(shared, MOST_BUCKETS) else shared
+    # an element of one node alone joins nobody, but it has its weight before all others
+    known = elements.join(side, F.col("e") == F.col("_e"), "left").groupBy("node").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "e", "w")))).alias("list"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, total, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rest = np.cumsum([x["w"] for x in found][::-1])[::-1] if found else np.empty(0, np.int64)
+                k = int(np.count_nonzero(rest >= t * total))
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array([x["e"] for x in found[:k]], pa.int64()), pa.array([node] * k, pa.binary()), pa.array([total] * k, pa.int64()), pa.array(rest[:k], pa.int64())], ["band", "node", "total", "rest"])
+
+    first = materialise(known.mapInArrow(prefixes, "band long, node binary, total long, rest long"), "prefixes")
+    lightest = materialise(first.groupBy("band").agg(F.min("total").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("band").alias("_b"), "least"), "lightest")
+    met = with_band(first, lightest).where(F.col("rest") * (1 + t) >= (F.col("total") + F.col("least")) * t - 1e-6).select("band", "node")
+    return _mixed(met.join(own, F.col("node") == F.col("_n")).select("band", "node", "root"))
+
+
+def _blocks(members: DataFrame, of: DataFrame, sets: DataFrame, most: float) -> DataFrame:
+    """Links between nodes of different classes that meet in `members` (band, node, root) and share
+    a band of `of`, found block against block.
 
     The largest class of a bucket has blocks of its own, which meet only those of the others, so
     that a few strangers to a large class cost no more than one look at it each.  A pair that meets
@@ -170,15 +239,16 @@ def _blocks(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
     one class."""
     counts = members.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("n"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sized = counts.select(F.col("band").alias("_b"), F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.count")).alias("few"), blocks(F.col("top.count")).alias("many"))
-    own = members.groupBy(F.col("node").alias("_n")).agg(F.collect_list("band").alias("bands"))  # no more than there are bands
-    held = materialise(sets.join(own, F.col("node") == F.col("_n")).drop("_n"), "held")
+    sized = materialise(counts.select(F.col("band").alias("_b"), F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.count")).alias("few"), blocks(F.col("top.count")).alias("many")), "sized")
+    lists = lambda df, name: df.groupBy(F.col("node").alias(f"_{name}")).agg(F.collect_list("band").alias(name))  # noqa: E731  no more than a set has elements, or bands
+    held = sets.join(lists(members, "met"), F.col("node") == F.col("_met")).join(lists(of, "bands"), F.col("node") == F.col("_bands"))
+    held = materialise(held.select("node", "shingles", "weights", "met", "bands"), "held")
     h, at_top = F.xxhash64("node"), F.col("root") == F.col("top")
-    dealt = members.join(sized, F.col("band") == F.col("_b")).drop("_b").withColumn("block", F.when(at_top, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
+    dealt = with_band(members, sized).withColumn("block", F.when(at_top, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
     # blocks of the others meet every block, those of the largest class only the others': a row for each meeting
     meets = F.when(at_top, F.col("few")).otherwise(F.col("few") + F.col("many"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select("band", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = pairs.join(held, "node").select("band", "i", "j", "block", "node", "root", "shingles", "weights", "bands")
+    full = pairs.join(held, "node").select("band", "i", "j", "block", "node", "root", "shingles", "weights", "met", "bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen, parent, a, b = None, [], {}, [], []
@@ -189,18 +259,18 @@ def _blocks(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
             return x
 
         for batch in batches:
-            for band, i, j, block, node, root, s, w, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, i, j, block, node, root, s, w, met, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, i, j) != key:
                     key, seen, parent = (band, i, j), [], {}
-                bands, size = set(bands), int(np.frombuffer(w, "<u4").sum()) if w else len(s) // 4
-                for other, its_root, its_block, its_bands, its_size, its in seen:
+                met, bands, size = set(met), set(bands), int(np.frombuffer(w, "<u4").sum()) if w else len(s) // 8
+                for other, its_root, its_block, its_met, its_bands, its_size, its in seen:
                     if (i != j and its_block == block) or min(size, its_size) < (1 - most - 1e-12) * max(size, its_size):
                         continue
-                    if find(its_root) != find(root) and min(bands & its_bands) == band and distance(its, (s, w)) <= most + 1e-12:
+                    if find(its_root) != find(root) and min(met & its_met) == band and not bands.isdisjoint(its_bands) and distance(its, (s, w)) <= most + 1e-12:
                         parent[find(root)] = find(its_root)
                         a.append(node)
                         b.append(other)
-                seen.append((node, root, block, bands, size, (s, w)))
+                seen.append((node, root, block, met, bands, size, (s, w)))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
                 a, b = [], []

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, broadcastable, map_arrow, materialise, mix, raw, read_table, windows, words
+from .common import binary, broadcastable, map_arrow, materialise, mix, raw, read_table, scratch, windows, words
 from .linking import bucket_members, link, pack
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 meets in one of 24 bands of 6 with probability 0.9993.
 BANDS, ROWS = 24, 6
 K = BANDS * ROWS
-MOST_IDS = 1_000_000
+MOST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,20 +170,14 @@ def _sets(rows: DataFrame) -> DataFrame:
         at = np.searchsorted(doc, np.arange(n + 1))
         packed = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            packed.append(pack(h[a:b] >> np.uint64(32), count[a:b]))
+            packed.append(pack(h[a:b], count[a:b]))
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["node", "shingles", "weights"])
 
     return map_arrow(rows, run, "node binary, shingles binary, weights binary", 1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: id_col, class_id (the least id of its class), class_size, kept.
-
-    Two documents are linked if the weighted Jaccard similarity of their shingles of five words
-    (A-Z as a-z; a shorter text is one shingle) is `similarity` or more; classes are connected by
-    links.  Null is empty; texts without words are linked if equal but for blanks at their ends,
-    so all empty ones are one class.  Rows that repeat an id are kept alike.  Null ids come first.
-    An empty table gives no rows.  Other columns are not read."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, the node that of its class, and (_n, _first, n) of classes of more than one row."""
     sketches = materialise(_sketches(docs, id_col, text_col), "sketches")
     nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     members = bucket_members(nodes.select(F.explode("bands").alias("band"), "node"))
@@ -195,8 +189,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketches.select("id", "node")
     if roots is not None:
         named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("id", F.coalesce("root", "node").alias("node"))
-    named = materialise(named, "named")
-    classes = materialise(named.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_n"), F.col("first.id").alias("_first"), "n"), "classes")
+    named = materialise(named, "named", keep=True)
+    classes = named.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named, materialise(classes.select(F.col("node").alias("_n"), F.col("first.id").alias("_first"), "n"), "classes", keep=True)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: id_col, class_id (the least id of its class), class_size, kept.
+
+    Two documents are linked if the weighted Jaccard similarity of their shingles of five words
+    (A-Z as a-z; a shorter text is one shingle) is `similarity` or more; classes are connected by
+    links.  Null is empty; texts without words are linked if equal but for blanks at their ends,
+    so all empty ones are one class.  Rows that repeat an id are kept alike.  Null ids come first.
+    An empty table gives no rows.  Other columns are not read."""
+    with scratch(docs.sparkSession):
+        named, classes = _classes(docs, id_col, text_col, similarity)
     out = named.join(classes, F.col("node") == F.col("_n"), "left")
     class_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("_first"))
     return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), class_id.eqNullSafe(F.col("id")).alias("kept"))
@@ -204,7 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class, that of the least id; columns are as they were.
-    Of rows that repeat an id one stays."""
+
+    Null texts are empty, and all empty ones are one class; null ids come first.  Of rows that
+    repeat an id one stays, where their class has more than one row.  An empty table stays empty."""
     found = materialise(near_duplicates(docs, id_col, text_col, similarity), "near")
     lost = found.where("not kept").select(F.col(id_col).alias("__lost")).distinct()
     side = F.broadcast(lost) if broadcastable(lost, MOST_IDS) else lost
