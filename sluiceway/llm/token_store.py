@@ -324,18 +324,20 @@ def write_shards(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", te
     encoded where they are read; only ids are sorted.  Other columns are not read."""
     spark, to = docs.sparkSession, qualified(docs.sparkSession, to)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", "text", F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    firsts = spark.sparkContext.broadcast(_firsts(rows.select("id"), n))
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         table = encoder(path)
         end = b"" if end_id is None else end_id.to_bytes(table.id_bytes, "little")
         ids = [x + end for x in table.encode(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "tie", "size", "ids"])
+        part = [bisect.bisect_right(firsts.value, key_of(x)) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(part, pa.int32()), pa.array(ids, pa.binary())], ["id", "tie", "part", "ids"])
 
-    encoded = materialise(map_arrow(rows, encode, f"id {kind}, tie long, size long, ids binary", 1), "ids")
-    total = encoded.agg(F.sum("size").alias("n")).first().n or 0
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    ranged = encoded.select("id", "tie", "ids").repartitionByRange(n, F.asc_nulls_first("id"), "tie").sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("id", "ids")
+    encoded = map_arrow(rows.select("id", "text", F.xxhash64("text").alias("tie")), encode, f"id {kind}, tie long, part int, ids binary", 1)
+    ranged = encoded.repartitionById(n, F.col("part")).sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_bytes, writer, done = encoder(path).id_bytes, None, []
@@ -358,6 +360,12 @@ def write_shards(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", te
     return written.select("file", "n_docs", "n_tokens", before.cast("long").alias("start"))
 
 
+def _firsts(ids: DataFrame, n: int) -> list[bytes]:
+    """Keys at which the second and later of n ranges of about as many rows begin; ids alone are shuffled."""
+    ranges = ids.repartitionByRange(n, F.asc_nulls_first("id")).groupBy(F.spark_partition_id()).agg(F.min(F.struct("id")).alias("first"))
+    return sorted(key_of(r.first.id) for r in ranges.select("first").toLocalIterator())[1:]
+
+
 def read_shards(shards: DataFrame, id_type: str = "long") -> DataFrame:
     """One row per document: id, start, n_tokens, ids_crc32 (of the ids as 32-bit little-endian
     numbers).  Shards are dealt to as many tasks as there are shards; an empty list gives no rows,
