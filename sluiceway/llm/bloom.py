@@ -59,7 +59,8 @@ def build(keys: DataFrame, rows: int, max_bits: int = MAX_BITS) -> Bloom:
 
     out = bytearray(-(-size // 8))
     segments = -(-len(out) // SEGMENT)
-    parts = keys.coalesce(32).mapInArrow(fill, "segment long, bits binary")
+    # a task for every few million keys: more tasks fill faster, but each sends its own segments
+    parts = keys.coalesce(min(512, max(32, rows // 2_000_000))).mapInArrow(fill, "segment long, bits binary")
     for row in parts.repartition(min(segments, 32), "segment").mapInArrow(merge, "segment long, bits binary").toLocalIterator():
         out[row.segment * SEGMENT : row.segment * SEGMENT + len(row.bits)] = row.bits
     return Bloom(size, bytes(out))

@@ -1,20 +1,24 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-Paragraphs are of two kinds.  A line of LINE_WORDS words or more is compared with others by
-MinHash: 6 bands of 2 find a pair of similarity 0.8 with probability 0.998, colliding
-paragraphs are joined and verified by their exact Jaccard similarity, and connected components
-are classes.  A passage may also stand inside a line, where no line break marks it; so texts
-are cut into short pieces at places that depend on the words nearby alone (a word whose hash is
-the least of its neighbourhood), wherever the passage stands.  Equal pieces in different
-documents are one class; they count where neighbours make up RUN_WORDS words or more.  Inside
-a line a changed word thus breaks a passage, and shorter lines are not compared by similarity.
-
-Of each class the document of the least id keeps its text; the others lose theirs.
+Paragraphs are of two kinds.  One is a line of PASSAGE_WORDS words or more.  A passage may also
+stand inside a line or run over several, where no line break marks it, so the other kind is a
+window of WINDOW words that begins wherever the words decide: at a pair of words whose hash is the
+least of REACH neighbours.  Any PASSAGE_WORDS words in a row hold such a window, the same one
+wherever they stand.  MinHash bands (6 of 2 for a line, which find a pair of similarity 0.8 with
+probability 0.998; 2 of 1 for windows that begin with the same pair of words, 0.96) bring
+paragraphs together, exact Jaccard similarity verifies those that are not equal, and connected
+components are classes.  Of each class the document of the least id keeps its text.
+
+Windows become passages where they follow one another in a document as they do in the keeper.
+Both texts are then compared word by word beyond either end, neighbouring runs with the same
+keeper are joined over a few foreign words if the whole is alike, and only passages of
+PASSAGE_WORDS or more are reported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,229 +26,427 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build
-from .common import binary, broadcastable, map_arrow, materialise, mix, raw, read_table, windows, words
+from .common import broadcastable, map_arrow, materialise, mix, powers, raw, read_table, scratch, windows, words
 from .linking import bucket_members, link, pack
 from .near_dedup import band_names
 
 SHINGLE, SIMILARITY = 5, 0.8
-LINE_WORDS, RUN_WORDS = 50, 20
-BANDS, ROWS = 6, 2
-#: A piece begins at a word whose hash is the least of so many on either side.
-NEAR = 3
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+WINDOW, REACH = 32, 20
+#: "Over 50 words": the fewest that hold a window whatever stands around them.
+PASSAGE_WORDS = WINDOW + REACH - 1
+#: Of lines, and of windows.
+BANDS, ROWS, WINDOW_BANDS = 6, 2, 2
+#: Foreign words between two runs that may be joined.
+GAP = 8
+#: Rows that are broadcast.
+MOST_ROWS = 100_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _GOLD)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_LINE, _INNER = 0, 1
+
+
+def _slide(x: np.ndarray, n: int, take) -> np.ndarray:
+    """take over x[i : i + n] for every i; the last n - 1 are over what is left."""
+    out, width = x.copy(), 1
+    while width < n:
+        step = min(width, n - width)
+        out[:-step] = take(out[:-step], out[step:])
+        width += step
+    return out
+
+
+class Words:
+    """The words of a batch of texts: places in bytes, text, hash, and hashes of runs of words."""
+
+    def __init__(self, column: pa.Array):
+        self.texts = len(column)
+        self.data, self.offsets = raw(column)
+        self.start, self.end, self.doc, self.hash = words(self.data, self.offsets)
+        self.base = np.searchsorted(self.doc, np.arange(self.texts + 1))
+        n = len(self.hash)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hash * powers(_BASE, n), out=self._sums[1:])
+        self._inverse = powers(_INVERSE, n)
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hash of n words from every word but the last n - 1 of the batch, whatever texts they are of."""
+        k = max(0, len(self.hash) - n + 1)
+        return mix((self._sums[n : n + k] - self._sums[:k]) * self._inverse[:k])
+
+    @cached_property
+    def chars(self) -> np.ndarray:
+        """Characters before every byte of the batch."""
+        return np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+
+    def characters(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Bytes of the batch as characters of their texts."""
+        return self.chars[at] - self.chars[self.offsets[doc]]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words of windows, and the hash of the pair of words there."""
+        n = len(self.hash)
+        if n < PASSAGE_WORDS:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        order = np.append(self.runs(2), np.uint64(0)) | np.uint64(1)
+        least = _slide(order, REACH, np.minimum)
+        least[np.arange(n) + PASSAGE_WORDS > self.base[self.doc + 1]] = 0
+        near = _slide(np.concatenate([np.zeros(REACH - 1, np.uint64), least]), REACH, np.maximum)[:n]
+        at = np.flatnonzero(order == near)
+        # of neighbours that are equal, as in a word said over and over, one in 16 will do
+        whole = self.runs(WINDOW)[at]
+        again = np.zeros(len(at), bool)
+        again[1:] = (at[1:] == at[:-1] + 1) & (whole[1:] == whole[:-1])
+        at = at[~again | ((at - self.base[self.doc[at]]) % 16 == 0)]
+        return at, order[at]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, names (hash of all words) and bands of windows."""
+        at, pair = self.anchors()
+        if not len(at):
+            return at, np.empty(0, np.uint64), np.empty((0, WINDOW_BANDS), np.uint64)
+        shingles, size = self.runs(SHINGLE), WINDOW - SHINGLE + 1
+        bands = [mix(pair + _slide(mix(shingles ^ _SALTS[k]), size, np.minimum)[at] + np.uint64(k) * _GOLD) for k in range(WINDOW_BANDS)]
+        return at, self.runs(WINDOW)[at], np.stack(bands, axis=1)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines of PASSAGE_WORDS words or more: first word, words, and their distinct shingles: 64-bit
+        name and line, in the order of line and name."""
+        n, e = len(self.hash), np.empty(0, np.int64)
+        if not n:
+            return e, e, np.empty(0, np.uint64), e
+        breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
+        begin = np.ones(n, bool)
+        begin[1:] = (self.doc[1:] != self.doc[:-1]) | (breaks[self.start[1:]] != breaks[self.end[:-1]])
+        first = np.flatnonzero(begin)
+        size = np.diff(np.append(first, n))
+        keep = size >= PASSAGE_WORDS
+        line = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), size)
+        mine = line >= 0
+        first, size = first[keep], size[keep]
+        w, owner, _ = windows(self.hash[mine], line[mine], len(first), SHINGLE)
+        order = np.lexsort((w, owner))
+        w, owner = w[order], owner[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
+        return first, size, w[new], owner[new]
+
+
+def _line_nodes(w: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of 128 bits and bands of n lines."""
+    if not n:
+        return np.empty((0, 2), np.uint64), np.empty((0, BANDS), np.uint64)
+    at = np.searchsorted(line, np.arange(n))
+    node = np.stack([np.add.reduceat(mix(w ^ np.uint64(s)), at) for s in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)], axis=1)
+    return node, band_names(np.stack([np.minimum.reduceat(mix(w ^ s), at) for s in _SALTS], axis=1), ROWS)
 
 
-def _characters(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bytes of the batch as characters of their texts."""
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return chars[at] - chars[offsets[doc]]
+def _repeated_bands(rows: DataFrame, kind: str) -> DataFrame:
+    """Bands that paragraphs of two documents have: band, mixed (whether these paragraphs differ)."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        t = Words(batch.column(1))
+        first, _, w, line = t.lines()
+        node, bands = _line_nodes(w, line, len(first))
+        for at, name, own in ((first, node[:, 0], bands), t.windows()):
+            if len(at):
+                k = own.shape[1]
+                ids = batch.column(0).take(pa.array(np.repeat(t.doc[at], k)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.ravel().view(np.int64)), pa.array(np.repeat(name, k).view(np.int64))], ["id", "band", "node"])
+
+    every = map_arrow(rows, run, f"id {kind}, band long, node long", 1)
+    bounds = every.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("node").alias("c"), F.max("node").alias("d"))
+    return materialise(bounds.where("a <> b").select("band", (F.col("c") != F.col("d")).alias("mixed")), "bands")
+
+
+def _paragraphs(rows: DataFrame, kind: str) -> DataFrame:
+    """Paragraphs that may repeat: id, kind, at (first word), words, start, end (characters), node,
+    bands, shingles (null where all that meet are equal)."""
+    repeated = _repeated_bands(rows, kind)
+    context = rows.sparkSession.sparkContext
+    mixed = repeated.where("mixed").select("band")
+    any_, unlike = (context.broadcast(build(x, x.count())) for x in (repeated.select("band"), mixed))
 
-def cut(column: pa.Array):
-    """Pieces of texts: document, number in it, first and last but one byte, words, name."""
-    data, offsets = raw(column)
-    start, end, doc, h = words(data, offsets)
-    n = len(start)
-    if not n:
-        e = np.empty(0, np.int64)
-        return data, offsets, e, e, e, e, e, np.empty(0, np.uint64)
-    order = mix(h + np.uint64(0x5851F42D4C957F2D))
-    order[1:] = mix(order[1:] ^ h[:-1])
-    padded = np.concatenate([np.full(NEAR, ~np.uint64(0)), order, np.full(NEAR, ~np.uint64(0))])
-    least = padded[: n].copy()
-    for k in range(1, 2 * NEAR + 1):
-        np.minimum(least, padded[k : k + n], out=least)
-    begin = order == least
-    begin[0] = True
-    begin[1:] |= doc[1:] != doc[:-1]
-    # a line break ends a piece
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    begin[1:] |= breaks[start[1:]] != breaks[end[:-1]]
-    first = np.flatnonzero(begin)
-    size = np.diff(np.append(first, n))
-    within = np.arange(n) - np.repeat(first, size)
-    name = mix(np.add.reduceat(mix(h + within.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first) + size.astype(np.uint64))
-    owner = doc[first]
-    number = np.arange(len(first)) - np.searchsorted(owner, owner)
-    return data, offsets, owner, number, start[first], end[first + size - 1], size, name
-
-
-def lines(column: pa.Array):
-    """Lines of LINE_WORDS words or more: document, first and last but one byte, words, and their
-    distinct shingles: 64-bit name and line, in the order of line and name."""
-    data, offsets = raw(column)
-    start, end, doc, h = words(data, offsets)
-    n = len(start)
-    e = np.empty(0, np.int64)
-    if not n:
-        return data, offsets, e, e, e, e, np.empty(0, np.uint64), e
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    begin = np.ones(n, bool)
-    begin[1:] = (doc[1:] != doc[:-1]) | (breaks[start[1:]] != breaks[end[:-1]])
-    first = np.flatnonzero(begin)
-    size = np.diff(np.append(first, n))
-    keep = size >= LINE_WORDS
-    line = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), size)
-    mine = line >= 0
-    first, size = first[keep], size[keep]
-    w, owner, _ = windows(h[mine], line[mine], len(first), SHINGLE)
-    order = np.lexsort((w, owner))
-    w, owner = w[order], owner[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
-    return data, offsets, doc[first], start[first], end[first + size - 1], size, w[new], owner[new]
-
-
-def _nodes(w: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    at = np.searchsorted(line, np.arange(n))
-    return np.stack([np.add.reduceat(mix(w ^ np.uint64(s)), at) for s in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)], axis=1)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        t = Words(batch.column(1))
+        test = lambda bands, of: of.value.test(bands.ravel().view(np.int64)).reshape(bands.shape).any(axis=1)
+        first, size, w, line = t.lines()
+        node, bands = _line_nodes(w, line, len(first))
+        k = np.flatnonzero(test(bands, any_))
+        edge = np.searchsorted(line, np.arange(len(first) + 1))
+        own = [w[edge[x] : edge[x + 1]] if m else None for x, m in zip(k.tolist(), test(bands[k], unlike).tolist(), strict=True)]
+        if len(k):
+            yield batch_of(t, batch, _LINE, first[k], size[k], [node[x].tobytes() for x in k], bands[k], own)
+        at, name, bands = t.windows()
+        k = np.flatnonzero(test(bands, any_))
+        if len(k):
+            shingles, many = t.runs(SHINGLE), np.arange(WINDOW - SHINGLE + 1)
+            own = [np.unique(shingles[x + many]) if m else None for x, m in zip(at[k].tolist(), test(bands[k], unlike).tolist(), strict=True)]
+            yield batch_of(t, batch, _INNER, at[k], np.full(len(k), WINDOW), [x.tobytes() for x in name[k]], bands[k], own)
+
+    def batch_of(t: Words, batch: pa.RecordBatch, what: int, at: np.ndarray, size: np.ndarray, node: list[bytes], bands: np.ndarray, sets: list) -> pa.RecordBatch:
+        doc, n = t.doc[at], len(at)
+        ints = lambda x: pa.array(x, pa.int32())
+        lists = pa.ListArray.from_arrays(ints(np.arange(n + 1) * bands.shape[1]), pa.array(np.ascontiguousarray(bands).view(np.int64).ravel()))
+        columns = [batch.column(0).take(pa.array(doc)), ints(np.full(n, what)), ints(at - t.base[doc]), ints(size), ints(t.characters(doc, t.start[at])), ints(t.characters(doc, t.end[at + size - 1]))]
+        columns += [pa.array(node, pa.binary()), lists, pa.array([None if x is None else pack(x, np.ones(1))[0] for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "kind", "at", "words", "start", "end", "node", "bands", "shingles"])
+
+    return materialise(map_arrow(rows, run, f"id {kind}, kind int, at int, words int, start int, end int, node binary, bands array<long>, shingles binary", 1), "paragraphs")
+
+
+def _classes(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs with `root`, the name of their class; and (_root, first) of classes that two documents have."""
+    unlike = found.where("shingles is not null")
+    members = bucket_members(unlike.select(F.explode("bands").alias("band"), "node").distinct())
+    sets = materialise(unlike.select("node", "shingles", F.lit(b"").alias("weights")).dropDuplicates(["node"]), "sets")
+    roots = link(members, sets, 1 - similarity)
+    named = found.select("id", "kind", "at", "words", "start", "end", "node")
+    if roots is not None:
+        named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").drop("_n").withColumn("root", F.coalesce("root", "node"))
+    else:
+        named = named.withColumn("root", F.col("node"))
+    named = materialise(named, "named")
+    classes = named.groupBy("root").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    return named, materialise(classes.select(F.col("root").alias("_root"), "first"), "classes")
+
+
+def _runs(named: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Windows that follow one another in a document as in its keeper: id, first (the keeper), and of
+    both the first word, the word past the last, the first words of the first and last window, and
+    characters; equal (whether the windows are); nodes (names of those at either end)."""
+    inner = named.where(F.col("kind") == _INNER)
+    known = materialise(inner.join(classes, F.col("root") == F.col("_root")).select("id", "at", "start", "end", "node", "root", "first"), "known")
+    # the equal window of the keeper if it has one, else the first of the class
+    first_of = lambda by, name: materialise(known.where("id = first").groupBy(F.col(by).alias("_r")).agg(F.min(F.struct("at", "start", "end", "node")).alias(name)), name)
+    placed = known.where("id <> first").join(first_of("root", "k0"), F.col("root") == F.col("_r")).drop("_r")
+    placed = placed.join(first_of("node", "k1"), F.col("node") == F.col("_r"), "left").withColumn("k", F.coalesce("k1", "k0"))
+    placed = placed.select("id", "first", "at", F.col("k.at").alias("k_at"), "start", "end", F.col("k.start").alias("k_start"), F.col("k.end").alias("k_end"), "node", F.col("k.node").alias("k_node"))
+    names = ["id", "first", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", "nodes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, number = None, [], lambda x: int.from_bytes(x, "little", signed=True)
+        for batch in batches:
+            for key, first, at, k_at, start, end, k_start, k_end, node, k_node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                equal = node == k_node
+                if held is not None and held[:2] == [key, first] and equal and held[10] and at - k_at == held[3] - held[5] and at <= held[3] + WINDOW:
+                    if at > held[3]:  # else a row that repeats the id
+                        held[3], held[5], held[7], held[9], held[11][1] = at, k_at, end, k_end, number(node)
+                    continue
+                if held is not None:
+                    out.append(held)
+                held = [key, first, at, at, k_at, k_at, start, end, k_start, k_end, equal, [number(node), number(k_node)]]
+            if len(out) > 10_000:
+                yield _batch(out, names, schema)
+                out = []
+        if held is not None:
+            yield _batch([*out, held], names, schema)
 
+    schema = f"id {kind}, first {kind}, at int, last int, k_at int, k_last int, start int, end int, k_start int, k_end int, equal boolean, nodes array<bigint>"
+    n = max(1, int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # windows of one alignment with the keeper stand together
+    ordered = placed.withColumn("_shift", F.col("at") - F.col("k_at")).repartition(n, "id").sortWithinPartitions("id", "first", "_shift", "at").drop("_shift")
+    return materialise(ordered.mapInArrow(run, schema), "runs")
 
-def _line_sketches(rows: DataFrame, kind: str) -> DataFrame:
-    """id, start, end (characters), words, node, node64 and bands of every long line."""
+
+def _batch(rows: list[list], names: list[str], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[x.split(" ")[1]]) for k, x in enumerate(schema.split(", "))], names)
+
+
+def _contexts(rows: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
+    """Words of and around windows at the ends of runs: id, at, pre (how many stand before it, up to
+    REACH - 1, and as many after), and of each its hash, the character at which it begins, counted
+    from the beginning of the window, and that at which it ends, counted from its end."""
+    wanted = materialise(runs.select(F.explode("nodes").alias("node")).distinct(), "wanted")
+    filter_ = rows.sparkSession.sparkContext.broadcast(build(wanted, wanted.count()))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets, doc, start, end, size, w, line = lines(batch.column(1))
-        n = len(doc)
-        if not n:
+        t = Words(batch.column(1))
+        at, name, _ = t.windows()
+        at = at[filter_.value.test(name.view(np.int64))]
+        if not len(at):
             return
-        at = np.searchsorted(line, np.arange(n))
-        least = np.stack([np.minimum.reduceat(mix(w ^ s), at) for s in _SALTS], axis=1)
-        node = _nodes(w, line, n)
-        bands = band_names(least, ROWS)
-        columns = [batch.column(0).take(pa.array(doc)), *(pa.array(_characters(data, offsets, doc, x), pa.int32()) for x in (start, end)), pa.array(size, pa.int32())]
-        columns += [pa.array([x.tobytes() for x in node], pa.binary()), pa.array(node[:, 0].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "start", "end", "words", "node", "node64", "bands"])
-
-    return map_arrow(rows, run, f"id {kind}, start int, end int, words int, node binary, node64 long, bands array<long>", 1)
-
-
-def _line_classes(rows: DataFrame, kind: str, similarity: float) -> DataFrame:
-    """id, start, end, words, class (a 64-bit name), first (least id) of long lines that other documents have too."""
-    found = materialise(_line_sketches(rows, kind), "lines")
-    nodes = found.select("node", "bands").dropDuplicates(["node"])
-    members = bucket_members(nodes.select(F.explode("bands").alias("band"), "node"))
-    wanted = materialise(members.select("node").distinct(), "wanted")
-    keys = wanted.select(F.col("node").alias("_w")).join(found.select("node", "node64").dropDuplicates(["node"]), F.col("_w") == F.col("node")).select("node64")
-    filter_ = rows.sparkSession.sparkContext.broadcast(build(materialise(keys, "keys"), wanted.count()))
-
-    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        *_, size, w, line = lines(batch.column(1))
-        if not len(size):
-            return
-        node = _nodes(w, line, len(size))
-        at = np.searchsorted(line, np.arange(len(size) + 1))
-        maybe = np.flatnonzero(filter_.value.test(node[:, 0].view(np.int64)))
-        packed = [pack(w[at[k] : at[k + 1]] >> np.uint64(32), np.ones(1)) for k in maybe]
-        yield pa.RecordBatch.from_arrays([pa.array([node[k].tobytes() for k in maybe], pa.binary()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["node", "shingles", "weights"])
-
-    every = map_arrow(rows, sets, "node binary, shingles binary, weights binary", 1)
-    roots = link(members, materialise(every.dropDuplicates(["node"]), "sets"), 1 - similarity)
-    named = found.select("id", "start", "end", "words", "node")
-    if roots is not None:
-        named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("id", "start", "end", "words", F.coalesce("root", "node").alias("node"))
-    named = materialise(named, "named")
-    classes = materialise(named.groupBy("node").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select(F.col("node").alias("_n"), "first"), "classes")
-    return named.join(classes, F.col("node") == F.col("_n")).select("id", "start", "end", "words", F.xxhash64("node").alias("class"), "first")
-
-
-def _piece_classes(rows: DataFrame, kind: str, run_words: int) -> DataFrame:
-    """The same for runs of pieces inside lines."""
-
-    def names(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, _, doc, _, _, _, _, name = cut(batch.column(1))
-        # a piece that a document repeats counts once there
-        pair = np.unique(np.stack([doc.astype(np.uint64), name], axis=1), axis=0) if len(doc) else np.empty((0, 2), np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0].astype(np.int64))), pa.array(pair[:, 1].view(np.int64))], ["id", "name"])
-
-    every = map_arrow(rows, names, f"id {kind}, name long", 1)
-    repeated = materialise(every.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select(F.col("name").alias("_name"), "first"), "repeated")
-    filter_ = rows.sparkSession.sparkContext.broadcast(build(repeated.select("_name"), repeated.count()))
-
-    def places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, offsets, doc, number, start, end, size, name = cut(batch.column(1))
-        k = np.flatnonzero(filter_.value.test(name.view(np.int64)))
-        columns = [batch.column(0).take(pa.array(doc[k])), pa.array(number[k], pa.int32())]
-        columns += [pa.array(_characters(data, offsets, doc[k], x[k]), pa.int32()) for x in (start, end)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(size[k], pa.int32()), pa.array(name[k].view(np.int64))], ["id", "number", "start", "end", "words", "name"])
-
-    maybe = map_arrow(rows, places, f"id {kind}, number int, start int, end int, words int, name long", 1)
-    known = materialise(maybe, "pieces").join(repeated, F.col("name") == F.col("_name")).select("id", "number", "start", "end", "words", "name", "first")
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, short, out = None, [], []
-
-        def flush() -> None:
-            # what lies between whole runs: own pieces and those that an earlier document has, maybe by chance
-            total = sum(run[4] for run in short)
-            for end in (0, -1):
-                while short and short[end][6] != short[end][0] and total - short[end][4] >= run_words:
-                    total -= short.pop(end)[4]
-            own = [x for run in short if run[6] == run[0] for x in run[8]]
-            if own and total >= run_words:
-                out.append((short[0][0], short[0][2], short[-1][3], total, None, short[0][0], own))
-            short.clear()
+        doc, small = t.doc[at], (t.hash >> np.uint64(32)).astype("<u4")
+        begin, end = t.chars[t.start].astype("<i4"), t.chars[t.end].astype("<i4")
+        first, past = np.maximum(at - REACH + 1, t.base[doc]), np.minimum(at + WINDOW + REACH - 1, t.base[doc + 1])
+        columns = [[], [], []]
+        for k, a, b in zip(at.tolist(), first.tolist(), past.tolist(), strict=True):
+            for column, x in zip(columns, (small[a:b], begin[a:b] - begin[k], end[a:b] - end[k + WINDOW - 1]), strict=True):
+                column.append(x.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at - t.base[doc], pa.int32()), pa.array(at - first, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["id", "at", "pre", "hash", "begin", "end"])
+
+    every = map_arrow(rows, run, f"id {kind}, at int, pre int, hash binary, begin binary, end binary", 1)
+    ends = [runs.select(F.col(a).alias("_id"), F.col(b).alias("_at")) for a in ("id", "first") for b in (("at", "last") if a == "id" else ("k_at", "k_last"))]
+    asked = materialise(ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]).distinct(), "asked")
+    found = materialise(every, "around").join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi")
+    return materialise(found.dropDuplicates(["id", "at"]), "contexts")
+
+
+class _Around:
+    """A row of _contexts."""
+
+    def __init__(self, row: dict | None):
+        x = row or {"pre": 0, "hash": bytes(4 * WINDOW), "begin": bytes(4 * WINDOW), "end": bytes(4 * WINDOW)}
+        self.known, self.pre = row is not None, x["pre"]
+        self.hash, self.begin, self.end = np.frombuffer(x["hash"], "<u4"), np.frombuffer(x["begin"], "<i4"), np.frombuffer(x["end"], "<i4")
+
+    @property
+    def own(self) -> np.ndarray:
+        return self.hash[self.pre : self.pre + WINDOW]
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words from the first on are equal."""
+    n = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of the shingles of two windows."""
+    a, b = ({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for w in (x.tolist(), y.tolist()))
+    return len(a & b) / max(1, len(a | b))
+
+
+def _grown(row: tuple, similarity: float) -> Iterator[list]:
+    """Runs of equal words (at, to, k_at, k_to, start, end, k_start, k_end) of a run of windows: equal
+    windows grow at both ends; of a window and its keeper's that are alike the stretches of equal words
+    are taken; of two that are so by way of others only, nothing."""
+    at, last, k_at, k_last, start, end, k_start, k_end, equal = row[:9]
+    a, b, c, d = map(_Around, row[9:])
+    if equal:
+        left = _shared(a.hash[: a.pre][::-1], c.hash[: c.pre][::-1])
+        right = _shared(b.hash[b.pre + WINDOW :], d.hash[d.pre + WINDOW :])
+        bounds = start + a.begin[a.pre - left], end + b.end[b.pre + WINDOW - 1 + right], k_start + c.begin[c.pre - left], k_end + d.end[d.pre + WINDOW - 1 + right]
+        yield [at - left, last + WINDOW + right, k_at - left, k_last + WINDOW + right, *map(int, bounds)]
+    elif a.known and c.known and _alike(a.own, c.own) >= similarity - 1e-9:
+        pre = min(a.pre, c.pre)
+        x, y = a.pre - pre, c.pre - pre
+        n = min(len(a.hash) - x, len(c.hash) - y)
+        same = np.concatenate([[False], a.hash[x : x + n] == c.hash[y : y + n], [False]])
+        for i, j in zip(np.flatnonzero(same[1:] & ~same[:-1]).tolist(), np.flatnonzero(same[:-1] & ~same[1:]).tolist(), strict=True):
+            if j - i >= SHINGLE and j > pre and i < pre + WINDOW:
+                bounds = start + a.begin[x + i], end + a.end[x + j - 1], k_start + c.begin[y + i], k_end + c.end[y + j - 1]
+                yield [at - pre + i, at - pre + j, k_at - pre + i, k_at - pre + j, *map(int, bounds)]
+
+
+def _joined(runs: list[list], similarity: float) -> Iterator[list]:
+    """Runs (at, to, k_at, k_to, start, end, k_start, k_end) of one document and keeper, in order, joined over up to GAP foreign words where the whole is alike: the shingles that
+    equal words give, over those of both texts, are `similarity` or more."""
+    held, common = None, 0
+    for run in runs:
+        if held is not None:
+            gaps = run[0] - held[1], run[2] - held[3]
+            if run[1] <= held[1] and run[3] <= held[3] and run[2] - run[0] == held[2] - held[0]:
+                continue  # within what is held
+            lost = max(0, -min(gaps))
+            more = common + max(0, run[1] - run[0] - lost - SHINGLE + 1)
+            both = (run[1] - held[0]) + (run[3] - held[2]) - 2 * (SHINGLE - 1)
+            if max(gaps) <= GAP and min(gaps) >= -REACH and run[1] > held[1] and run[3] > held[3] and more >= similarity * (both - more):
+                held[1], held[3], held[5], held[7], common = run[1], run[3], run[5], run[7], more
+                continue
+            yield held
+        held, common = list(run), max(0, run[1] - run[0] - SHINGLE + 1)
+    if held is not None:
+        yield held
+
+
+def _outermost(found: list[list]) -> list[list]:
+    """Passages (first, start, end, ...) of one document without those that lie within another whose
+    keeper is no later; of equal ones the first in order stays."""
+    out, widest = [], None
+    for x in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+        if widest is None or x[2] > widest[2] or x[0] < widest[0]:
+            out.append(x)
+        if widest is None or x[2] > widest[2]:
+            widest = x
+    return out
+
+
+def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, similarity: float, least: int) -> DataFrame:
+    """id, first, start, end, words, k_start, k_end, k_words of passages of `least` words or more, and
+    of lines (id, first, start, end, words, class), which have no k_; what lies within another is left out."""
+    around = _contexts(rows, runs, kind)
+
+    def with_context(df: DataFrame, key: str, at: str, name: str) -> DataFrame:
+        side = around.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.struct("pre", "hash", "begin", "end").alias(name))
+        side = F.broadcast(side) if broadcastable(side, MOST_ROWS // 5) else side
+        return df.join(side, (F.col(key) == F.col("_id")) & (F.col(at) == F.col("_at")), "left").drop("_id", "_at")
+
+    full = runs.drop("nodes")
+    for key, at, name in (("id", "at", "a"), ("id", "last", "b"), ("first", "k_at", "c"), ("first", "k_last", "d")):
+        full = with_context(full, key, at, name)
+    names = ["id", "first", "start", "end", "words", "k_start", "k_end", "k_words", "class"]
+    schema = f"id {kind}, first {kind}, start int, end int, words int, k_start int, k_end int, k_words int, class bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, held, found, out = None, None, [], [], []
+
+        def passages() -> None:
+            for x in _joined(sorted(held), similarity):
+                if min(x[1] - x[0], x[3] - x[2]) >= least:
+                    found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None])
+            held.clear()
 
         def done() -> None:
-            if held is None:
-                return
-            if held[4] >= run_words:
-                flush()
-                out.append((held[0], held[2], held[3], held[4], held[5], held[6], None))
-                return
-            if short and (short[-1][0] != held[0] or short[-1][1] + 1 != held[9]):
-                flush()
-            short.append(held)
+            passages()
+            out.extend([key, *x] for x in _outermost(found))
+            found.clear()
 
         for batch in batches:
-            for key, number, start, end, size, name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is not None and held[0] == key and number == held[1]:
-                    continue  # a row that repeats the id
-                if held is not None and held[0] == key and number == held[1] + 1 and (first == key) == (held[6] == key):
-                    held[1], held[3], held[4] = number, end, held[4] + size
-                    if held[4] < run_words:
-                        held[8].append(name)
-                    if size > held[7]:  # the longest piece names the run, lest one that is met by chance do
-                        held[5], held[6], held[7] = name, first, size
-                    continue
-                done()
-                held = [key, number, start, end, size, name, first, size, [name], number]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != key:
+                    done()
+                elif row[1] != first:
+                    passages()
+                key, first = row[:2]
+                if row[2] is not None:
+                    found.append([first, row[7], row[8], row[4], None, None, None, row[2]])
+                else:
+                    held.extend(_grown(row[3:], similarity))
             if len(out) > 10_000:
-                yield _spans(out, batch.schema.field(0).type)
-                out = []
+                yield _batch(out, names, schema)
+                out.clear()
         done()
-        flush()
         if out:
-            yield _spans(out, pa.array([x[0] for x in out]).type)
+            yield _batch(out, names, schema)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = known.repartition(n, "id").sortWithinPartitions("id", "number").mapInArrow(runs, f"id {kind}, start int, end int, words int, class long, first {kind}, own array<long>")
-    found = materialise(found, "runs")
-    # a broken run of own pieces is a passage where another document loses the run that such a piece names
-    lost = found.where("own is null and id <> first").select(F.col("class").alias("_class")).distinct()
-    broken = found.where("own is not null").select("id", "start", "end", "words", "first", F.explode("own").alias("name")).join(lost, F.col("name") == F.col("_class"))
-    kept = broken.groupBy("id", "start", "end", "words", "first").agg(F.min("name").alias("class"))
-    return found.where("own is null").drop("own").unionByName(kept)
+    full = full.withColumn("class", F.lit(None).cast("long")).select("id", "first", "class", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", "a", "b", "c", "d")
+    every = full.unionByName(lines.select("id", "first", "class", F.col("words").alias("last"), "start", "end"), allowMissingColumns=True)
+    ordered = every.repartition(n, "id").sortWithinPartitions("id", "first", "at")
+    return materialise(ordered.mapInArrow(run, schema), "passages")
 
 
-def _spans(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.int32(), pa.int32(), pa.int32(), pa.int64(), kind, pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "start", "end", "words", "class", "first", "own"])
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row per repeated passage of a document: id_col, start, end (characters of its text),
     n_words, kind (line or inner), class_id, first_id (the document that keeps it), removed.
 
-    Only passages that two or more documents have are listed; rows with the same id are one
-    document.  Null and empty texts, and rows without id, have none; an empty table gives no rows.
-    Words are compared as runs of letters and digits, A-Z as a-z.  A passage can be listed as a
-    line and, with bounds of its own, as an inner one.  Other columns are not read."""
+    A line has `least_words` words or more, or PASSAGE_WORDS if that is more, and is in a class with
+    lines of other documents; an inner passage is held by its keeper too: word for word, or alike by
+    `similarity` where a few words differ.  The keeper has a row (removed is false) for all that
+    others have of it.  What lies within another passage, with a keeper no later, is not listed.
+    Words are runs of letters and digits, A-Z as a-z, whatever stands between them, line breaks too.
+
+    Rows with the same id are one document, within which nothing repeats; ties go to the least id.
+    Null and empty texts, and rows without id, have no passages; an empty table gives no rows.  Very
+    long texts are taken whole.  Other columns are not read."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = _line_classes(rows, kind, similarity).withColumn("kind", F.lit("line"))
-    inner = _piece_classes(rows, kind, run_words).withColumn("kind", F.lit("inner"))
-    return whole.unionByName(inner).select(F.col("id").alias(id_col), "start", "end", F.col("words").alias("n_words"), "kind", F.col("class").alias("class_id"), F.col("first").alias("first_id"), (F.col("id") != F.col("first")).alias("removed"))
+    with scratch(docs.sparkSession):
+        named, classes = _classes(_paragraphs(rows, kind), similarity)
+        line = named.where((F.col("kind") == _LINE) & (F.col("words") >= least_words)).join(classes, F.col("root") == F.col("_root"))
+        line = line.select("id", "start", "end", "words", F.xxhash64("root").alias("class"), "first")
+        every = _passages(rows, line, _runs(named, classes, kind), kind, similarity, least_words)
+        inner = every.where("class is null")
+        name = F.xxhash64("first", "k_start", "k_end").alias("class")
+        line = every.where("class is not null").select("id", "start", "end", "words", F.lit("line").alias("kind"), "class", "first")
+        lost = inner.select("id", "start", "end", "words", F.lit("inner").alias("kind"), name, "first")
+        kept = inner.groupBy("first", "k_start", "k_end").agg(F.min("k_words").alias("words")).select(F.col("first").alias("id"), F.col("k_start").alias("start"), F.col("k_end").alias("end"), "words", F.lit("inner").alias("kind"), name, "first")
+        found = materialise(line.unionAll(lost).unionAll(kept), "repeated", keep=True)
+    return found.select(F.col("id").alias(id_col), "start", "end", F.col("words").alias("n_words"), "kind", F.col("class").alias("class_id"), F.col("first").alias("first_id"), (F.col("id") != F.col("first")).alias("removed"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
