@@ -4,7 +4,8 @@ The writer puts every record into a gzip member of its own; each task writes fil
 names of its own and returns what it has written, so a task that runs twice leaves at most
 a file that nobody lists.  The reader's tasks own byte ranges: they look for the magic bytes
 of gzip, take a candidate only if it decodes to a WARC header, decode every record that
-starts inside their range, wherever it ends, and go on from its end.
+starts inside their range, wherever it ends, and go on from its end.  Where no record begins, they
+look for the next one, and what they pass over is listed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcastable, map_arrow, materialise, new_path, read_table, slices
+from .common import broadcastable, dealt, materialise, new_path, qualified, read_table, slices
 from .store import open_read, open_write
 
 MAGIC = b"\x1f\x8b\x08"
@@ -30,6 +31,8 @@ READ_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
 #: Groups of equal payloads that are broadcast; more are joined by a shuffle.
 MOST_GROUPS = 200_000
+#: How far back a member is looked for that may hold another in its payload.
+LOOK_BACK = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -63,6 +66,7 @@ def write_archives(pages: DataFrame, to: str, id_col: str = "page_id", url_col:
     id is the response, which the others revisit; rows that share id and payload are responses
     alike, as are rows without id if no row of their group has one.  An empty table gives no file.
     Only the three columns are read."""
+    to = qualified(pages.sparkSession, to)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     long_enough = keyed.where(F.octet_length("payload") >= least_bytes)
@@ -136,32 +140,100 @@ def _member(source: _Bytes, pos: int) -> tuple[bytes, int] | None:
     return b"".join(parts), pos
 
 
-def records(uri: str, start: int, end: int, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record whose member starts in [start, end)."""
+def _whole(source: _Bytes, pos: int) -> tuple[bytes, int] | None:
+    """The member at pos and its end, if it begins with a WARC header and its checksum and length are right."""
+    return _member(source, pos) if _begins(source, pos) else None
+
+
+def _within(source: _Bytes, pos: int) -> bool:
+    """Whether a whole member that begins before pos ends after it: pos is then in its payload."""
+    at = pos
+    while at > max(0, pos - LOOK_BACK):
+        low = max(0, at - READ_BYTES)
+        window = source.at(low, at - low + 2)
+        k = window.rfind(MAGIC, 0, at - low + 2)
+        while k >= 0:
+            if low + k < pos and (found := _whole(source, low + k)) is not None and found[1] > pos:
+                return True
+            k = window.rfind(MAGIC, 0, k + 2)
+        at = low
+    return False
+
+
+def _next(source: _Bytes, pos: int, end: int) -> tuple[int, tuple[bytes, int] | None]:
+    """The first record that begins in [pos, end), found without knowing where one before it ends,
+    and its place; (end, None) if there is none.  A candidate that the next record or the end of the
+    file follows is one; any other, unless it lies in the payload of a whole record."""
+    while pos < end:
+        window = source.at(pos, min(READ_BYTES, end - pos) + 2)
+        k = window.find(MAGIC)
+        if k < 0:
+            pos += max(1, len(window) - 2)
+            continue
+        pos += k
+        if pos < end and (found := _whole(source, pos)) is not None:
+            if found[1] >= source.size or _begins(source, found[1]) or not _within(source, pos):
+                return pos, found
+        pos += 1
+    return end, None
+
+
+def records(uri: str, start: int, end: int, size: int, passed: list[tuple[int, int]] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record whose member starts in [start, end).
+
+    A record whose checksum and length are right is never lost, whatever stands beside it; one that
+    is damaged is passed over.  `passed` gets (place, bytes) of each stretch without a record that
+    begins where a record of this range ends, or at the beginning of the file."""
     with open_read(uri) as file:
-        source, pos = _Bytes(file, size), start
-        while pos < end:
-            window = source.at(pos, min(READ_BYTES, end - pos) + 2)
-            k = window.find(MAGIC)
-            if k < 0:
-                pos += max(1, len(window) - 2)
-                continue
-            pos += k
-            if pos >= end:
+        source, pos, known = _Bytes(file, size), start, start == 0
+        while True:
+            found = _whole(source, pos) if known and pos < min(end, size) else None
+            if found is None:
+                if known and pos < size and (pos < end or passed is not None and _whole(source, pos) is None):
+                    to, found = _next(source, pos, size if passed is not None else min(end, size))
+                    if passed is not None and to > pos:
+                        passed.append((pos, to - pos))
+                    pos = to
+                elif not known:
+                    pos, found = _next(source, pos, min(end, size))
+            if found is None or pos >= end:
                 return
-            found = _member(source, pos) if _begins(source, pos) else None
-            # a member inside the payload of another is not followed by the next member or the end
-            if found is None or not (found[1] >= size or _begins(source, found[1])):
-                pos += 1
-                continue
             head, _, rest = found[0].partition(b"\r\n\r\n")
             fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
             yield fields, rest[: int(fields.get("Content-Length", 0))]
-            pos = found[1]
+            pos, known = found[1], True
+
+
+def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
+    """(file, bytes, start) of every range, a task for each."""
+    listed = files.where("file is not null and bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    written = materialise(listed, "ranges")
+    return dealt(written, written.count(), "file", "start")
+
+
+def passed_over(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, start, bytes) of the stretches of archives where no record can be read; no rows if all
+    are whole, or for an empty list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                passed: list[tuple[int, int]] = []
+                for _ in records(uri, start, min(size, start + range_bytes), size, passed):
+                    pass
+                if passed:
+                    yield _batch([(uri, *x) for x in passed], ["file", "start", "bytes"], [pa.string(), pa.int64(), pa.int64()])
+
+    return _ranges(files, range_bytes).mapInArrow(run, "file string, start long, bytes long")
 
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """One row per record: record_id, record_type, refers_to, url, payload_digest, payload_bytes, payload (null if a revisit)."""
+    """One row per record: record_id, record_type, refers_to, url, payload_digest, payload_bytes, payload (null if a revisit).
+
+    `files` is (file, bytes), as write_archives returns it; an empty list, null files and those of no
+    bytes give no rows.  Damaged records are left out, whole ones beside them are not (`passed_over`
+    lists what is left out); a payload that does not match its digest is an error.  Records that
+    repeat have a row each.  Ranges are read by a task each."""
     from urllib.parse import unquote
 
     names = ["record_id", "record_type", "refers_to", "url", "payload_digest", "payload_bytes", "payload"]
@@ -188,8 +260,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                 if rows:
                     yield _batch(rows, names, types)
 
-    ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition(F.col("file"), F.col("start")).mapInArrow(run, "record_id string, record_type string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary")
+    return _ranges(files, range_bytes).mapInArrow(run, "record_id string, record_type string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary")
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:

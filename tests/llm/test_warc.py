@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -47,5 +48,48 @@ def test_any_byte_belongs_to_one_range(tmp_path):
     path = tmp_path / "a.warc.gz"
     path.write_bytes(data)
     for step in (97, 1000, len(data)):
-        keys = [f["WARC-Record-ID"] for a in range(0, len(data), step) for f, _ in warc.records(str(path), a, min(len(data), a + step), len(data))]
+        keys = [f["WARC-Record-ID"] for a in range(0, len(data), step) for f, _ in warc.records(f"file://{path}", a, min(len(data), a + step), len(data))]
         assert keys == [f"<urn:record:{k}>" for k in range(12)]
+
+
+@pytest.mark.parametrize("bad", [{0}, {5}, {11}, {4, 6}, {0, 1, 11}, {2, 3, 4}])
+def test_a_damaged_record_takes_no_other_with_it(tmp_path, bad):
+    whole = [warc.record(str(k), "http://a/", bytes((k * k + j * j * 31) % 251 for j in range(900)), None) for k in range(12)]
+    torn = [x[:200] + bytes([x[200] ^ 255]) + x[201:] if k in bad else x for k, x in enumerate(whole)]
+    data, path = b"".join(torn), tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    place = [sum(map(len, torn[:k])) for k in range(13)]
+    stretches = [(k, next(j for j in range(k, 13) if j not in bad)) for k in sorted(bad) if k - 1 not in bad]
+    for step in (97, 1000, len(data)):
+        passed, keys = [], []
+        for a in range(0, len(data), step):
+            keys += [f["WARC-Record-ID"] for f, _ in warc.records(f"file://{path}", a, min(len(data), a + step), len(data), passed)]
+        assert keys == [f"<urn:record:{k}>" for k in range(12) if k not in bad]
+        assert passed == [(place[a], place[b] - place[a]) for a, b in stretches]
+        assert keys == [f["WARC-Record-ID"] for a in range(0, len(data), step) for f, _ in warc.records(f"file://{path}", a, min(len(data), a + step), len(data))]
+
+
+def test_a_record_in_the_payload_of_another_is_none_beside_damage(tmp_path):
+    r = random.Random(3)
+    inner = warc.record("inner", None, r.randbytes(400), None)
+    outer = warc.record("outer", None, r.randbytes(90_000) + inner + r.randbytes(500), None)
+    last = warc.record("last", None, b"z" * 900, None)
+    data = outer + last[:100] + b"?" + last[101:]
+    assert inner in data
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    passed, keys = [], []
+    for a in range(0, len(data), 10_000):
+        keys += [f["WARC-Record-ID"] for f, _ in warc.records(f"file://{path}", a, min(len(data), a + 10_000), len(data), passed)]
+    assert keys == ["<urn:record:outer>"] and passed == [(len(outer), len(last))]
+
+
+def test_damage_is_listed_and_ranges_are_read_by_many_tasks(spark, tmp_path):
+    whole = [warc.record(str(k), None, bytes([k]) * 3000, None) for k in range(40)]
+    data = b"".join(whole[:20]) + b"junk" + b"".join(whole[20:])
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data)), (None, 5), (f"file://{tmp_path}/none", 0)], "file string, bytes long")
+    found = warc.read_archives(files, 300)
+    assert found.count() == 40
+    assert found.rdd.getNumPartitions() > 20
+    assert [tuple(x)[1:] for x in warc.passed_over(files, 300).collect()] == [(len(b"".join(whole[:20])), 4)]
