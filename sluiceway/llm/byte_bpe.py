@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, raw, read_table, span_keys
 
-#: Pieces that a worker remembers.
-CACHE = 400_000
+#: What a worker remembers of pieces that it has merged, in bytes.
+CACHE_BYTES = 64 << 20
+#: Bytes that an entry takes besides its piece and ids.
+_ENTRY = 200
 BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LANE = 256
 
@@ -68,10 +70,11 @@ def classes() -> np.ndarray:
     import tiktoken
 
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        out[np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")] = kind
+        for low in range(0, 0x110000, 1 << 12):  # in parts, which bounds the memory
+            some = "".join(chr(c) for c in range(low, low + (1 << 12)) if not 0xD800 <= c < 0xE000)
+            out[np.frombuffer(bytes(probe.encode_ordinary(some)).decode().encode("utf-32-le"), "<u4")] = kind
     out[BLANKS] = BLANK
     return out
 
@@ -163,6 +166,7 @@ class Ranks:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
         self.bytes = {v: k for k, v in self.rank.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         rank = self.rank
@@ -217,8 +221,10 @@ class Ranks:
         if found is None:
             found = self.merge(piece)
             if len(piece) <= 64:
-                if len(self.cache) >= CACHE:
+                self.held += _ENTRY + len(piece) + 8 * len(found)
+                if self.held > CACHE_BYTES:
                     self.cache.clear()
+                    self.held = _ENTRY + len(piece) + 8 * len(found)
                 self.cache[piece] = found
         return found
 

@@ -78,8 +78,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that `materialise` has written."""
+    files = table.inputFiles()
+    if files and (own := shared_dir(table.sparkSession)) and files[0].replace("file:///", "file:/").startswith(own.replace("file:///", "file:/")):
+        _delete(table.sparkSession, files[0].rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
