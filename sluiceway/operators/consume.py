@@ -11,18 +11,41 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..functions.averages import EMA
 from .progress import Callback, CallbackManager, ProgressMonitor, TqdmReporterCallback, Watch
 from .transforms import rebatched
 
-STATUS = "partition int, batches long, rows long, secs double, failed_batches long, failed_rows long, error string"
-_NAMES = ["partition", "batches", "rows", "secs", "failed_batches", "failed_rows", "error"]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
+STATUS = "partition int, batches long, rows long, secs double, stream double, transform double, finalize double, failed_batches long, failed_rows long, error string"
+_NAMES = ["partition", "batches", "rows", "secs", "stream", "transform", "finalize", "failed_batches", "failed_rows", "error"]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
 
 
 def _nothing() -> None:
     """The default hook."""
 
 
+class Timed:
+    """An iterator that counts the seconds spent waiting for what it yields, and averages them."""
+
+    def __init__(self, items: Iterator[Any], smoothing: float = 0.1):
+        self._items, self.total_time, self._average = iter(items), 0.0, EMA(smoothing)
+
+    @property
+    def smooth_time(self) -> float:
+        return self._average.value
+
+    def __iter__(self) -> Timed:
+        return self
+
+    def __next__(self) -> Any:
+        begun = time.perf_counter()
+        out = next(self._items)
+        seconds = time.perf_counter() - begun
+        self.total_time += seconds
+        self._average.update(seconds)
+        return out
+
+
 def _items(batches: Iterator[pa.RecordBatch], batch_size: int | None, formatting: str | None) -> Iterator[tuple[Any, int]]:
     """What the function gets, with the number of rows in it."""
     if batch_size is None and formatting != "arrow":
@@ -35,21 +58,25 @@ def _items(batches: Iterator[pa.RecordBatch], batch_size: int | None, formatting
 
 
 def consume(df: DataFrame, fn: Callable[[Any], Any], batch_size: int | None = None, formatting: str | None = None, on_start: Callable[[], Any] = _nothing, on_finish: Callable[[], Any] = _nothing, on_error: str = "fail") -> DataFrame:
-    """One status row per partition: rows done, seconds inside fn, what failed.  Lazy.
+    """One status row per partition: rows done, seconds (waiting for input: stream; making the items that
+    fn gets: transform; inside fn: finalize, also as secs), what failed.  Lazy.
 
     fn gets a dictionary per row, a dictionary of lists per batch_size rows, or with formatting
     "arrow" a pyarrow table.  on_start and on_finish run once for each partition, on_finish after
     errors too.  on_error "fail" ends the job; "skip_batch" counts what fails and goes on, with the
-    first error kept.  A task that Spark runs again repeats what fn does."""
-    if on_error not in ("fail", "skip_batch"):
-        raise ValueError("on_error is fail or skip_batch")
+    first error kept; "skip_rest" counts the item that fails and leaves the rest of its partition, whose
+    rows are not counted, as other partitions go on.  A task that Spark runs again repeats what fn does."""
+    if on_error not in ("fail", "skip_batch", "skip_rest"):
+        raise ValueError("on_error is fail, skip_batch or skip_rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = rows = bad = bad_rows = 0
         secs, error = 0.0, None
+        stream = Timed(batches)
+        items = Timed(_items(stream, batch_size, formatting))
         on_start()
         try:
-            for item, n in _items(batches, batch_size, formatting):
+            for item, n in items:
                 begun = time.perf_counter()
                 try:
                     fn(item)
@@ -58,10 +85,12 @@ def consume(df: DataFrame, fn: Callable[[Any], Any], batch_size: int | None = No
                     if on_error == "fail":
                         raise
                     bad, bad_rows, error = bad + 1, bad_rows + n, error or f"{type(e).__name__}: {e}"
+                    if on_error == "skip_rest":
+                        break
                 secs += time.perf_counter() - begun
         finally:
             on_finish()
-        row = [TaskContext.get().partitionId(), done, rows, secs, bad, bad_rows, error]
+        row = [TaskContext.get().partitionId(), done, rows, secs, stream.total_time, max(0.0, items.total_time - stream.total_time), secs, bad, bad_rows, error]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], _NAMES)
 
     return df.mapInArrow(run, STATUS)
@@ -83,21 +112,16 @@ class DatasetConsumer:
             self.callbacks.append(TqdmReporterCallback(progress_report_interval))
 
     def consume(self, ds: DataFrame, finalizer: Callable[[Any], Any] = lambda x: x, batch_size: int | None = None, formatting: str | None = None) -> list[Any]:
-        """Run it; returns the status rows, one per partition."""
+        """Run it; returns the status rows, one per partition.  Callbacks hear of shards while they
+        run.  An error or an interrupt cancels the job, and shards that have not ended count as canceled."""
         df = spread(ds, self.num_proc)
         parts = df.rdd.getNumPartitions()
         monitor, manager = ProgressMonitor(parts, min(parts, self.num_proc)), CallbackManager(self.callbacks)
-        started = time.time()
         manager.on_start(monitor, ds)
-        watch = Watch(ds.sparkSession, monitor, manager)
         try:
-            rows = consume(df, finalizer, batch_size, formatting, self.on_start, self.on_finish, self.on_error).collect()
-            watch.finish(rows, started)
-        except BaseException:
-            for shard in sorted(monitor.pending_shards):
-                monitor.shard_canceled(shard)
-                manager.on_shard_canceled(monitor, shard)
-            raise
+            with Watch(ds.sparkSession, monitor, manager) as watch:
+                rows = watch.run(consume(df, finalizer, batch_size, formatting, self.on_start, self.on_finish, self.on_error).collect)
+                watch.finish(rows)
         finally:
             monitor.stopping()
             manager.on_stopping(monitor)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import os
 
 NAME = "sluiceway"
 
@@ -19,7 +20,8 @@ class PartitionFormatter(logging.Formatter):
 
 
 def setup_logging(level: int | str = logging.WARNING, log_file: str | None = None) -> logging.Logger:
-    """Console, and a file that is appended to if one is named.  Earlier handlers go."""
+    """Console, and a file that is appended to if one is named.  Earlier handlers go.  Importing the
+    package calls this with LOG_LEVEL and LOG_FILE of the environment, if either is set."""
     logger = logging.getLogger(NAME)
     logger.setLevel(level)
     for old in list(logger.handlers):
@@ -30,3 +32,9 @@ def setup_logging(level: int | str = logging.WARNING, log_file: str | None = Non
         logger.addHandler(handler)
     logger.propagate = False
     return logger
+
+
+def setup_from_environment() -> None:
+    level, log_file = os.environ.get("LOG_LEVEL"), os.environ.get("LOG_FILE")
+    if level or log_file:
+        setup_logging((level or "WARNING").upper(), log_file or None)

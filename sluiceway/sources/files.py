@@ -17,8 +17,36 @@ def _place(uri: str) -> tuple[Any, str]:
 
 
 def absolute(uri: str) -> str:
+    return _place(uri)[1] if urlparse(uri).scheme in ("", "file") else uri.rstrip("/")
+
+
+def qualified(spark: Any, uri: str) -> str:
+    """A path without scheme as Spark takes it: on the default file system, be that local or not."""
+    if urlparse(uri).scheme:
+        return absolute(uri)
+    where = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return absolute(uri if found.startswith("file:") else found)
+
+
+def moves_are_cheap(uri: str) -> bool:
+    """Whether a file or folder is moved without being copied, as in file systems but not in object stores."""
+    return urlparse(uri).scheme in ("", "file", "hdfs", "viewfs")
+
+
+def names(uri: str) -> list[str]:
+    """What a folder holds; nothing if there is none."""
+    kind, path = _place(uri)
+    if kind is None:
+        return os.listdir(path) if os.path.isdir(path) else []
+    from pyarrow import fs
+
+    return [x.base_name for x in kind.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+
+
+def remove_file(uri: str) -> None:
     kind, path = _place(uri)
-    return path if kind is None else uri.rstrip("/")
+    os.remove(path) if kind is None else kind.delete_file(path)
 
 
 def exists(uri: str) -> bool:

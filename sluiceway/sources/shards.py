@@ -1,9 +1,11 @@
 """Sharded sinks, and the reader for what they write.
 
-A writer is bound into a data source of Spark.  Tasks write files under a staging folder with
-names of their own and report them; the commit numbers them in the order of partitions, gives
-them their names, adds the metadata and puts the folder in its place.  A failed job leaves
-nothing, and a task that ran twice nothing twice.
+A writer is bound into a data source of Spark.  Where moving a file is cheap, tasks write under a
+staging folder with names of their own and report them; the commit numbers them in the order of
+partitions, moves them many at a time, adds the metadata and puts the folder in its place.  In an
+object store, where each move would copy the data, tasks write in place under names that last, and
+the commit publishes the list of them.  A failed job leaves nothing, and a task that ran twice
+nothing twice.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import time
 import uuid
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -31,7 +34,11 @@ from ..operators.sharding import ShardingController, ShardingStrategy
 from ..operators.transforms import rebatched
 from . import files
 
+#: Files that a commit moves at a time.
+MOVERS = 32
 STATE, INFO, MANIFEST, SPLITS = "state.json", "dataset_info.json", "manifest.json", "dataset_dict.json"
+#: Of a stream: a file for each micro-batch, and how far it has come.
+LOG, HEAD = "batches", "head.json"
 
 
 @dataclass
@@ -75,6 +82,7 @@ class BaseDatasetWriter:
         self.save_dir, self.overwrite, self.num_proc = files.absolute(save_dir), overwrite, num_proc
         self.prefetch_factor, self.write_batch_size = prefetch_factor, write_batch_size
         self.limits = (sharding_strategy, max_shard_size, sample_size_key)
+        self.moves = files.moves_are_cheap(self.save_dir)
         self.callbacks = list(callbacks or [])
         if not disable_tqdm:
             self.callbacks.append(TqdmReporterCallback(tqdm_update_interval))
@@ -115,9 +123,30 @@ class BaseDatasetWriter:
         """Write it; returns the manifest: a row per shard with file, partition, rows and bytes.
 
         A folder that exists is an error unless overwrite is set, and then stays as it is until
-        all is written.  Each split of a dictionary has its own folder and numbers."""
+        all is written.  Each split of a dictionary has its own folder and numbers; splits are
+        written one after another, each by all of the cluster."""
+        spark = next(iter(ds.values())).sparkSession if isinstance(ds, dict) and ds else ds.sparkSession if not isinstance(ds, dict) else None
+        if spark is not None:
+            self.save_dir = files.qualified(spark, self.save_dir)
+            self.moves = self.moves and files.moves_are_cheap(self.save_dir)
         if files.exists(self.save_dir) and not self.overwrite:
             raise FileExistsError(self.save_dir)
+        return self._write_moved(ds) if self.moves else self._write_in_place(ds)
+
+    def _write_in_place(self, ds: DataFrame | dict[str, DataFrame]) -> Any:
+        """No file is moved: readers go by the state file, which changes last; then old files go."""
+        split = isinstance(ds, dict)
+        folders = {name: f"{self.save_dir}/{name}" for name in ds} if split else {None: self.save_dir}
+        before = {folder: set(files.names(folder)) for folder in [self.save_dir, *folders.values()]}
+        out = {name: self._write_one(ds[name] if split else ds, folder, name) for name, folder in folders.items()}
+        if split:
+            _dump(f"{self.save_dir}/{SPLITS}", {"splits": list(ds)})
+        for name, folder in folders.items():
+            for old in before[folder] - {STATE, INFO, MANIFEST, SPLITS, *(s["file"] for s in out[name]), *(str(x) for x in folders if x)}:
+                files.remove_file(f"{folder}/{old}") if "." in old else files.remove_dir(f"{folder}/{old}")
+        return out if split else out[None]
+
+    def _write_moved(self, ds: DataFrame | dict[str, DataFrame]) -> Any:
         staging = f"{self.save_dir}.staging-{uuid.uuid4().hex}"
         try:
             if isinstance(ds, dict):
@@ -151,17 +180,11 @@ class BaseDatasetWriter:
         monitor, manager = ProgressMonitor(parts, parts), CallbackManager(self.callbacks)
         name = f"shards_{uuid.uuid4().hex}"
         spark.dataSource.register(_bound(name, _without_callbacks(self), schema.json()))
-        started = time.time()
         manager.on_start(monitor, df)
         try:
-            out.write.format(name).option("path", path).option("split", split or "").mode("append").save()
-            rows = [_Status(**r) for r in _load(f"{path}/{MANIFEST}")["tasks"]]
-            Watch(spark, monitor, manager).finish(rows, started)
-        except BaseException:
-            for shard in sorted(monitor.pending_shards):
-                monitor.shard_canceled(shard)
-                manager.on_shard_canceled(monitor, shard)
-            raise
+            with Watch(spark, monitor, manager) as watch:
+                watch.run(out.write.format(name).option("path", path).option("split", split or "").mode("append").save)
+                watch.finish([_Status(**r) for r in _load(f"{path}/{MANIFEST}")["tasks"]])
         finally:
             monitor.stopping()
             manager.on_stopping(monitor)
@@ -220,7 +243,8 @@ class ShardWriter(DataSourceArrowWriter):
     def __init__(self, format_: BaseDatasetWriter, path: str, split: str | None, schema: str, given: T.StructType):
         self.format, self.path, self.split, self.schema = format_, path, split, schema
         self.given = _arrow(given)
-        self.staging = f"{path}/_staging-{uuid.uuid4().hex}"
+        self.write_id = uuid.uuid4().hex[:12]
+        self.staging = f"{path}/_staging-{self.write_id}"
 
     @property
     def info(self) -> DatasetInfo:
@@ -235,8 +259,9 @@ class ShardWriter(DataSourceArrowWriter):
                 self.format.finalize_shard(info)
                 limits.finalize()
             if not limits.open:
-                files.make_dir(self.staging)
-                path = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}-{len(message.shards)}-{uuid.uuid4().hex}"
+                files.make_dir(self.staging if self.format.moves else self.path)
+                own = f"{context.partitionId():05}-{len(message.shards):05}-{context.taskAttemptId()}"
+                path = f"{self.staging}/{own}-{uuid.uuid4().hex}" if self.format.moves else f"{self.path}/shard-{self.write_id}-{own}.{self.format.extension}"
                 self.format.initialize_shard(path, info)
                 limits.initialize()
                 message.shards.append({"path": path, "rows": 0, "bytes": 0})
@@ -253,20 +278,28 @@ class ShardWriter(DataSourceArrowWriter):
 
     def _publish(self, messages: list[Written | None], first: int = 0, empty: bool = True) -> dict[str, Any]:
         done = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
-        shards, number = [], first
-        for m in done:
-            for s in m.shards:
-                name = self.format.shard_name(number)
-                files.move(s["path"], f"{self.path}/{name}")
-                shards.append({"file": name, "partition": m.partition, "rows": s["rows"], "bytes": s["bytes"]})
-                number += 1
+        found = [(m.partition, s) for m in done for s in m.shards]
+        names = [self.format.shard_name(first + k) if self.format.moves else os.path.basename(s["path"]) for k, (_, s) in enumerate(found)]
+        if self.format.moves:
+            with ThreadPoolExecutor(MOVERS) as pool:
+                list(pool.map(lambda x: files.move(x[0][1]["path"], f"{self.path}/{x[1]}"), zip(found, names, strict=True)))
+        shards = [{"file": name, "partition": p, "rows": s["rows"], "bytes": s["bytes"]} for name, (p, s) in zip(names, found, strict=True)]
         if not shards and empty:  # so that the schema is there
-            self.format.initialize_shard(f"{self.path}/{self.format.shard_name(number)}", self.info)
+            name = self.format.shard_name(first) if self.format.moves else f"shard-{self.write_id}-00000.{self.format.extension}"
+            self.format.initialize_shard(f"{self.path}/{name}", self.info)
             self.format.finalize_shard(self.info)
-            shards.append({"file": self.format.shard_name(number), "partition": 0, "rows": 0, "bytes": 0})
-        files.remove_dir(self.staging)
+            shards.append({"file": name, "partition": 0, "rows": 0, "bytes": 0})
+        self._clear({s["file"] for s in shards})
         return {"shards": shards, "tasks": [{"partition": m.partition, "rows": m.rows, "secs": m.secs} for m in done]}
 
+    def _clear(self, kept: set[str]) -> None:
+        """Removes what attempts have left that did not count."""
+        files.remove_dir(self.staging)
+        if not self.format.moves:
+            for name in files.names(self.path):
+                if name.startswith(f"shard-{self.write_id}-") and name not in kept:
+                    files.remove_file(f"{self.path}/{name}")
+
     def _describe(self, manifest: dict[str, Any]) -> None:
         columns = T.StructType.fromJson(json.loads(self.schema)).names
         _dump(f"{self.path}/{MANIFEST}", manifest)
@@ -277,7 +310,7 @@ class ShardWriter(DataSourceArrowWriter):
         self._describe(self._publish(messages))
 
     def abort(self, messages: list[Written | None]) -> None:
-        files.remove_dir(self.staging)
+        self._clear(set())
 
 
 class ArrowDatasetWriter(BaseDatasetWriter):
@@ -333,6 +366,14 @@ class JsonDatasetWriter(BaseDatasetWriter):
         self._file.close()
 
 
+def data_files(path: str) -> list[str]:
+    """Files of a table that are committed: those of its state, and of the log of a stream."""
+    out = [x["filename"] for x in _load(f"{path}/{STATE}")["_data_files"]]
+    for name in sorted(files.names(f"{path}/{LOG}")):
+        out += [s["file"] for s in _load(f"{path}/{LOG}/{name}")["shards"]]
+    return out
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -363,7 +404,7 @@ class ShardSource(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         path = self.options["path"]
-        return _ArrowReader([f"{path}/{x['filename']}" for x in _load(f"{path}/{STATE}")["_data_files"]], schema)
+        return _ArrowReader([f"{path}/{x}" for x in data_files(path)], schema)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame | dict[str, DataFrame]:
@@ -371,7 +412,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame | dict[str, DataFra
     Only files that the state names are read, in a task each."""
     from ..ship import ship
 
-    path = files.absolute(path)
+    path = files.qualified(spark, path)
     if files.exists(f"{path}/{SPLITS}"):
         return {name: read_shards(spark, f"{path}/{name}") for name in _load(f"{path}/{SPLITS}")["splits"]}
     if not files.exists(f"{path}/{INFO}"):
@@ -379,7 +420,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame | dict[str, DataFra
         raise FileNotFoundError(f"{path}/{INFO}")
     info = _load(f"{path}/{INFO}")
     if info["file_format"] == "json":
-        names = [f"{path}/{x['filename']}" for x in _load(f"{path}/{STATE}")["_data_files"]]
+        names = [f"{path}/{x}" for x in data_files(path)]
         return spark.read.schema(T.StructType.fromJson(info["schema"])).json(names)
     if info["file_format"] != "arrow":
         raise ValueError(f"no reader for {info['file_format']}")

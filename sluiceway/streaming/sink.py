@@ -10,22 +10,29 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter
 
 from ..sources import files
-from ..sources.shards import MANIFEST, BaseDatasetWriter, ShardWriter, Written, _load, _without_callbacks
+from ..sources.shards import HEAD, INFO, LOG, BaseDatasetWriter, ShardWriter, Written, _dump, _load, _without_callbacks
 
 
 class StreamShardWriter(ShardWriter, DataSourceStreamArrowWriter):
-    """Commits each micro-batch once: a batch that is in the manifest is not added again."""
+    """Commits each micro-batch once, as a file of its own in the log, so that a commit costs what the
+    batch holds, however long the stream has run.  The head says which batch was the last and what the
+    next shard's number is; a batch that it has is not added again."""
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
-        known: dict[str, Any] = _load(f"{self.path}/{MANIFEST}") if files.exists(f"{self.path}/{MANIFEST}") else {"shards": [], "tasks": [], "batches": []}
-        if batchId in known["batches"]:
-            files.remove_dir(self.staging)
+        head: dict[str, Any] = _load(f"{self.path}/{HEAD}") if files.exists(f"{self.path}/{HEAD}") else {"batch": -1, "shards": 0}
+        if batchId <= head["batch"]:
+            self._clear(set())
             return
-        more = self._publish(messages, len(known["shards"]), empty=not known["shards"])
-        self._describe({"shards": known["shards"] + more["shards"], "tasks": known["tasks"] + more["tasks"], "batches": [*known["batches"], batchId]})
+        first = not files.exists(f"{self.path}/{INFO}")
+        if first:
+            self._describe({"shards": [], "tasks": []})
+        entry = self._publish(messages, head["shards"], empty=first)
+        files.make_dir(f"{self.path}/{LOG}")
+        _dump(f"{self.path}/{LOG}/{batchId:012}.json", entry)
+        _dump(f"{self.path}/{HEAD}", {"batch": batchId, "shards": head["shards"] + len(entry["shards"])})
 
     def abort(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
-        files.remove_dir(self.staging)
+        self._clear(set())
 
 
 def write_stream(df: DataFrame, writer: BaseDatasetWriter, checkpoint: str, **trigger: Any) -> Any:

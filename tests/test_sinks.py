@@ -130,3 +130,42 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(str(source))
         write_stream(stream, ArrowDatasetWriter(path, disable_tqdm=True), str(tmp_path / "checkpoint")).awaitTermination()
         assert sorted(r.id for r in read_shards(spark, path).collect()) == list(range(20 + more))
+    from sluiceway.sources.shards import data_files
+
+    assert data_files(path) == [f"shard-{k:05}.arrow" for k in range(len(data_files(path)))]
+    assert len(list((tmp_path / "x/batches").iterdir())) == 2 and json.loads((tmp_path / "x/head.json").read_text())["batch"] == 1
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_where_moves_are_dear_no_file_is_moved(spark, tmp_path, monkeypatch, split):
+    from sluiceway.sources import files
+
+    monkeypatch.setattr(files, "moves_are_cheap", lambda uri: False)
+    path = tmp_path / "x"
+    write = lambda df: ArrowDatasetWriter(str(path), overwrite=True, num_proc=2, disable_tqdm=True).write({"a": df, "b": df} if split else df)
+    read = lambda: read_shards(spark, str(path))["b"] if split else read_shards(spark, str(path))
+    folder = path / "b" if split else path
+    write(spark.range(7))
+    assert sorted(r.id for r in read().collect()) == list(range(7))
+    with pytest.raises(Exception, match="'id'|assert|big"):
+        write(spark.range(9).repartition(2).selectExpr("assert_true(id < 8, 'big') as x", "id"))
+    assert sorted(r.id for r in read().collect()) == list(range(7)), "what was there stays until all is written"
+    out = write(spark.range(5))
+    assert sorted(r.id for r in read().collect()) == list(range(5))
+    manifest = out["b"] if split else out
+    assert {p.name for p in folder.iterdir()} == {s["file"] for s in manifest} | {"state.json", "dataset_info.json", "manifest.json"}
+
+
+def test_a_path_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    from sluiceway.sources import files
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./data", f"file://{tmp_path}")
+    try:
+        assert files.qualified(spark, "/data/x") == "viewfs://store/data/x"
+        assert files.qualified(spark, f"file://{tmp_path}/x") == f"{tmp_path}/x"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert files.qualified(spark, str(tmp_path)) == str(tmp_path)
