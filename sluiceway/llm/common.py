@@ -3,6 +3,7 @@ tables, bounded text slices and vectorised word hashing."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -72,13 +73,21 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that were written within, but for those kept."""
+    """Deletes at its end the tables that were written within, but for those kept, and shuffle files."""
     _OPEN.append([])
     try:
         yield
     finally:
         for path in _OPEN.pop():
             _delete(spark, path)
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what is done.  Spark deletes them when the driver collects the
+    garbage that stands for them, which a driver with a large heap may not do for long."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def discard(table: DataFrame) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcastable, materialise, scratch
+from .common import broadcastable, materialise, scratch, slices
 
 ROUNDS = 2
 #: Nodes in a block of the last comparison.
@@ -168,10 +168,13 @@ def link(members: DataFrame, sets: DataFrame, most: float, rounds: int = ROUNDS)
             now = _mixed(_rooted(left, roots))
             if not now.limit(1).count():
                 break
-            roots, left = _round(now, roots, sets, most)
+            with scratch(spark):
+                roots, left = _round(now, roots, sets, most)
         now = _mixed(_rooted(left, roots))
         if now.limit(1).count():
-            roots = _merged(roots, materialise(_blocks(_rare(now, sets, most), now, sets, most), "links"))
+            with scratch(spark):
+                rare = materialise(_rare(now, sets, most), "rare", keep=True)
+            roots = _merged(roots, materialise(_blocks(rare, now, sets, most), "links"))
         return None if roots is None else materialise(roots, "roots", keep=True)
 
 
@@ -186,7 +189,7 @@ def _round(now: DataFrame, roots: DataFrame | None, sets: DataFrame, most: float
     judged = materialise(judged.select("band", "node", "dist", (F.col("root") != F.col("leader_root")).alias("stranger")), "judged")
     far = judged.where(F.col("stranger") & (F.col("dist") > most + 1e-12)).groupBy("band").agg(F.min("dist").alias("nearest")).withColumnRenamed("band", "_b")
     left = with_band(judged, materialise(far, "far")).where(F.col("dist") >= F.col("nearest") - most - 1e-9).select("band", "node")
-    return roots, materialise(left, "left")
+    return None if roots is None else materialise(roots, "roots", keep=True), materialise(left, "left", keep=True)
 
 
 def _rare(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
@@ -204,24 +207,38 @@ def _rare(members: DataFrame, sets: DataFrame, most: float) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(s, "<i8")
-                u = np.frombuffer(w, "<u4").astype(np.int64) if w else np.ones(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(x), pa.binary()), pa.array(x), pa.array(u)], ["node", "e", "w"])
+            for part in slices(batch, 1):
+                nodes, s, w = (c.to_pylist() for c in part.columns)
+                n = [len(x) // 8 for x in s]
+                weights = [np.frombuffer(x, "<u4").astype(np.int64) if x else np.ones(k, np.int64) for x, k in zip(w, n, strict=True)]
+                own = part.column(0).take(pa.array(np.repeat(np.arange(len(nodes)), n)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.frombuffer(b"".join(s), "<i8")), pa.array(np.concatenate([np.empty(0, np.int64), *weights]))], ["node", "e", "w"])
 
     elements = materialise(sets.join(own.select("_n"), F.col("node") == F.col("_n"), "left_semi").select("node", "shingles", "weights").mapInArrow(parts, "node binary, e long, w long"), "elements")
     shared = materialise(elements.groupBy("e").count().where("count > 1").select(F.col("e").alias("_e"), F.col("count").alias("n")), "shared")
     side = F.broadcast(shared) if broadcastable(shared, MOST_BUCKETS) else shared
     # an element of one node alone joins nobody, but it has its weight before all others
-    known = elements.join(side, F.col("e") == F.col("_e"), "left").groupBy("node").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "e", "w")))).alias("list"))
+    known = elements.join(side, F.col("e") == F.col("_e")).select("node", F.struct("n", "e", "w").alias("x")).groupBy("node").agg(F.array_sort(F.collect_list("x")).alias("list"))
+    total = elements.groupBy(F.col("node").alias("_n")).agg(F.sum("w").alias("total"))
+    # nobody meets a set in which too little is shared at all
+    known = known.join(total, F.col("node") == F.col("_n")).where(F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["w"]) >= F.col("total") * t)
+    known = known.select("node", "total", F.col("list.e").alias("e"), F.col("list.w").alias("w"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, total, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rest = np.cumsum([x["w"] for x in found][::-1])[::-1] if found else np.empty(0, np.int64)
-                k = int(np.count_nonzero(rest >= t * total))
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array([x["e"] for x in found[:k]], pa.int64()), pa.array([node] * k, pa.binary()), pa.array([total] * k, pa.int64()), pa.array(rest[:k], pa.int64())], ["band", "node", "total", "rest"])
+            e, w = batch.column(2), batch.column(3)
+            edges = np.asarray(e.offsets)
+            values, weight = np.asarray(e.values), np.asarray(w.values)
+            own, keep, rests = [], [], []
+            for k, (a, b, all_) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), batch.column(1).to_pylist(), strict=True)):
+                rest = np.cumsum(weight[a:b][::-1])[::-1]
+                n = int(np.count_nonzero(rest >= t * all_))
+                own.append(np.full(n, k))
+                keep.append(np.arange(a, a + n))
+                rests.append(rest[:n])
+            own, keep, rests = (np.concatenate([np.empty(0, np.int64), *x]) for x in (own, keep, rests))
+            take = pa.array(own)
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column(0).take(take), batch.column(1).take(take), pa.array(rests)], ["band", "node", "total", "rest"])
 
     first = materialise(known.mapInArrow(prefixes, "band long, node binary, total long, rest long"), "prefixes")
     lightest = materialise(first.groupBy("band").agg(F.min("total").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("band").alias("_b"), "least"), "lightest")

@@ -5,8 +5,8 @@ stand inside a line or run over several, where no line break marks it, so the ot
 window of WINDOW words that begins wherever the words decide: at a pair of words whose hash is the
 least of REACH neighbours.  Any PASSAGE_WORDS words in a row hold such a window, the same one
 wherever they stand.  MinHash bands (6 of 2 for a line, which find a pair of similarity 0.8 with
-probability 0.998; 2 of 1 for windows that begin with the same pair of words, 0.96) bring
-paragraphs together, exact Jaccard similarity verifies those that are not equal, and connected
+probability 0.998; 2 of 2 for windows that begin with the same pair of words, 0.87 for each of
+those that a passage holds, and equal ones always) bring paragraphs together, exact Jaccard similarity verifies those that are not equal, and connected
 components are classes.  Of each class the document of the least id keeps its text.
 
 Windows become passages where they follow one another in a document as they do in the keeper.
@@ -107,8 +107,8 @@ class Words:
         if not len(at):
             return at, np.empty(0, np.uint64), np.empty((0, WINDOW_BANDS), np.uint64)
         shingles, size = self.runs(SHINGLE), WINDOW - SHINGLE + 1
-        bands = [mix(pair + _slide(mix(shingles ^ _SALTS[k]), size, np.minimum)[at] + np.uint64(k) * _GOLD) for k in range(WINDOW_BANDS)]
-        return at, self.runs(WINDOW)[at], np.stack(bands, axis=1)
+        least = [_slide(mix(shingles ^ _SALTS[k]), size, np.minimum)[at] for k in range(WINDOW_BANDS * ROWS)]
+        return at, self.runs(WINDOW)[at], mix(band_names(np.stack(least, axis=1), ROWS) + pair[:, None])
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lines of PASSAGE_WORDS words or more: first word, words, and their distinct shingles: 64-bit
@@ -157,13 +157,14 @@ def _repeated_bands(rows: DataFrame, kind: str) -> DataFrame:
 
     every = map_arrow(rows, run, f"id {kind}, band long, node long", 1)
     bounds = every.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("node").alias("c"), F.max("node").alias("d"))
-    return materialise(bounds.where("a <> b").select("band", (F.col("c") != F.col("d")).alias("mixed")), "bands")
+    return materialise(bounds.where("a <> b").select("band", (F.col("c") != F.col("d")).alias("mixed")), "bands", keep=True)
 
 
 def _paragraphs(rows: DataFrame, kind: str) -> DataFrame:
     """Paragraphs that may repeat: id, kind, at (first word), words, start, end (characters), node,
     bands, shingles (null where all that meet are equal)."""
-    repeated = _repeated_bands(rows, kind)
+    with scratch(rows.sparkSession):
+        repeated = _repeated_bands(rows, kind)
     context = rows.sparkSession.sparkContext
     mixed = repeated.where("mixed").select("band")
     any_, unlike = (context.broadcast(build(x, x.count())) for x in (repeated.select("band"), mixed))
@@ -207,9 +208,9 @@ def _classes(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]
         named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").drop("_n").withColumn("root", F.coalesce("root", "node"))
     else:
         named = named.withColumn("root", F.col("node"))
-    named = materialise(named, "named")
+    named = materialise(named, "named", keep=True)
     classes = named.groupBy("root").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    return named, materialise(classes.select(F.col("root").alias("_root"), "first"), "classes")
+    return named, materialise(classes.select(F.col("root").alias("_root"), "first"), "classes", keep=True)
 
 
 def _runs(named: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
@@ -247,7 +248,7 @@ def _runs(named: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     n = max(1, int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # windows of one alignment with the keeper stand together
     ordered = placed.withColumn("_shift", F.col("at") - F.col("k_at")).repartition(n, "id").sortWithinPartitions("id", "first", "_shift", "at").drop("_shift")
-    return materialise(ordered.mapInArrow(run, schema), "runs")
+    return materialise(ordered.mapInArrow(run, schema), "runs", keep=True)
 
 
 def _batch(rows: list[list], names: list[str], schema: str) -> pa.RecordBatch:
@@ -256,49 +257,58 @@ def _batch(rows: list[list], names: list[str], schema: str) -> pa.RecordBatch:
 
 
 def _contexts(rows: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
-    """Words of and around windows at the ends of runs: id, at, pre (how many stand before it, up to
-    REACH - 1, and as many after), and of each its hash, the character at which it begins, counted
-    from the beginning of the window, and that at which it ends, counted from its end."""
-    wanted = materialise(runs.select(F.explode("nodes").alias("node")).distinct(), "wanted")
-    filter_ = rows.sparkSession.sparkContext.broadcast(build(wanted, wanted.count()))
+    """Words around windows at the ends of runs: id, at; before, before_at (hashes of up to REACH - 1
+    words, the nearest first, and at how many characters before the window they begin); after,
+    after_at (the same beyond it, to where they end); and of windows that are not equal to their
+    keeper's own, own_begin, own_end (hashes of its words, and where they begin and end)."""
+    context = rows.sparkSession.sparkContext
+    ends = materialise(runs.select(F.explode("nodes").alias("node"), "equal").groupBy("node").agg(F.bool_and("equal").alias("equal")), "ends")
+    any_, unlike = (context.broadcast(build(x.select("node"), x.count())) for x in (ends, ends.where("not equal")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = Words(batch.column(1))
         at, name, _ = t.windows()
-        at = at[filter_.value.test(name.view(np.int64))]
+        keep = any_.value.test(name.view(np.int64))
+        at, whole = at[keep], unlike.value.test(name[keep].view(np.int64))
         if not len(at):
             return
         doc, small = t.doc[at], (t.hash >> np.uint64(32)).astype("<u4")
         begin, end = t.chars[t.start].astype("<i4"), t.chars[t.end].astype("<i4")
         first, past = np.maximum(at - REACH + 1, t.base[doc]), np.minimum(at + WINDOW + REACH - 1, t.base[doc + 1])
-        columns = [[], [], []]
-        for k, a, b in zip(at.tolist(), first.tolist(), past.tolist(), strict=True):
-            for column, x in zip(columns, (small[a:b], begin[a:b] - begin[k], end[a:b] - end[k + WINDOW - 1]), strict=True):
-                column.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at - t.base[doc], pa.int32()), pa.array(at - first, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["id", "at", "pre", "hash", "begin", "end"])
+        columns: list[list] = [[] for _ in range(7)]
+        for k, a, b, full in zip(at.tolist(), first.tolist(), past.tolist(), whole.tolist(), strict=True):
+            to = k + WINDOW
+            found = [small[a:k][::-1], begin[k] - begin[a:k][::-1], small[to:b], end[to:b] - end[to - 1]]
+            found += [small[k:to], begin[k:to] - begin[k], end[k:to] - end[to - 1]] if full else [None] * 3
+            for column, x in zip(columns, found, strict=True):
+                column.append(None if x is None else x.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at - t.base[doc], pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["id", "at", *_AROUND])
 
-    every = map_arrow(rows, run, f"id {kind}, at int, pre int, hash binary, begin binary, end binary", 1)
-    ends = [runs.select(F.col(a).alias("_id"), F.col(b).alias("_at")) for a in ("id", "first") for b in (("at", "last") if a == "id" else ("k_at", "k_last"))]
-    asked = materialise(ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]).distinct(), "asked")
-    found = materialise(every, "around").join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi")
-    return materialise(found.dropDuplicates(["id", "at"]), "contexts")
+    every = map_arrow(rows, run, f"id {kind}, at int, {', '.join(f'{x} binary' for x in _AROUND)}", 1)
+    places = [runs.select(F.col(a).alias("_id"), F.col(b).alias("_at")) for a, b in (("id", "at"), ("id", "last"), ("first", "k_at"), ("first", "k_last"))]
+    asked = materialise(places[0].unionAll(places[1]).unionAll(places[2]).unionAll(places[3]).distinct(), "asked")
+    return materialise(every.join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi").dropDuplicates(["id", "at"]), "contexts")
 
 
-class _Around:
-    """A row of _contexts."""
+_AROUND = ["before", "before_at", "after", "after_at", "own", "own_begin", "own_end"]
 
-    def __init__(self, row: dict | None):
-        x = row or {"pre": 0, "hash": bytes(4 * WINDOW), "begin": bytes(4 * WINDOW), "end": bytes(4 * WINDOW)}
-        self.known, self.pre = row is not None, x["pre"]
-        self.hash, self.begin, self.end = np.frombuffer(x["hash"], "<u4"), np.frombuffer(x["begin"], "<i4"), np.frombuffer(x["end"], "<i4")
 
-    @property
-    def own(self) -> np.ndarray:
-        return self.hash[self.pre : self.pre + WINDOW]
+class _Around:
+    """A window of an altered run with its neighbours, in order: hashes, beginnings (counted from that
+    of the window) and ends (counted from its end) of words; pre is how many stand before it."""
+
+    def __init__(self, x: dict):
+        ints = lambda name, kind: np.frombuffer(x[name], kind)
+        before, after = ints("before", "<u4")[::-1], ints("after", "<u4")
+        self.pre, self.own = len(before), ints("own", "<u4")
+        self.hash = np.concatenate([before, self.own, after])
+        self.begin = np.concatenate([-ints("before_at", "<i4")[::-1], ints("own_begin", "<i4"), np.zeros(len(after), np.int32)])
+        self.end = np.concatenate([np.zeros(len(before), np.int32), ints("own_end", "<i4"), ints("after_at", "<i4")])
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> int:
+def _shared(a: dict | None, b: dict | None, name: str) -> int:
     """How many words from the first on are equal."""
+    x, y = (np.frombuffer(v[name], "<u4") if v else np.empty(0, np.uint32) for v in (a, b))
     n = min(len(x), len(y))
     unlike = np.flatnonzero(x[:n] != y[:n])
     return int(unlike[0]) if len(unlike) else n
@@ -314,14 +324,13 @@ def _grown(row: tuple, similarity: float) -> Iterator[list]:
     """Runs of equal words (at, to, k_at, k_to, start, end, k_start, k_end) of a run of windows: equal
     windows grow at both ends; of a window and its keeper's that are alike the stretches of equal words
     are taken; of two that are so by way of others only, nothing."""
-    at, last, k_at, k_last, start, end, k_start, k_end, equal = row[:9]
-    a, b, c, d = map(_Around, row[9:])
+    at, last, k_at, k_last, start, end, k_start, k_end, equal, a, b, c, d = row
     if equal:
-        left = _shared(a.hash[: a.pre][::-1], c.hash[: c.pre][::-1])
-        right = _shared(b.hash[b.pre + WINDOW :], d.hash[d.pre + WINDOW :])
-        bounds = start + a.begin[a.pre - left], end + b.end[b.pre + WINDOW - 1 + right], k_start + c.begin[c.pre - left], k_end + d.end[d.pre + WINDOW - 1 + right]
-        yield [at - left, last + WINDOW + right, k_at - left, k_last + WINDOW + right, *map(int, bounds)]
-    elif a.known and c.known and _alike(a.own, c.own) >= similarity - 1e-9:
+        left, right = _shared(a, c, "before"), _shared(b, d, "after")
+        moved = lambda x, name, n: int(np.frombuffer(x[name], "<i4")[n - 1]) if n else 0
+        bounds = start - moved(a, "before_at", left), end + moved(b, "after_at", right), k_start - moved(c, "before_at", left), k_end + moved(d, "after_at", right)
+        yield [at - left, last + WINDOW + right, k_at - left, k_last + WINDOW + right, *bounds]
+    elif a and c and a["own"] and c["own"] and _alike((a := _Around(a)).own, (c := _Around(c)).own) >= similarity - 1e-9:
         pre = min(a.pre, c.pre)
         x, y = a.pre - pre, c.pre - pre
         n = min(len(a.hash) - x, len(c.hash) - y)
@@ -370,14 +379,20 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
     of lines (id, first, start, end, words, class), which have no k_; what lies within another is left out."""
     around = _contexts(rows, runs, kind)
 
-    def with_context(df: DataFrame, key: str, at: str, name: str) -> DataFrame:
-        side = around.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.struct("pre", "hash", "begin", "end").alias(name))
+    def with_context(df: DataFrame, key: str, at: str, name: str, wanted: list[str]) -> DataFrame:
+        # all have the same fields, so that altered runs and others are of one kind
+        fields = [F.col(x) if x in wanted else F.lit(None).cast("binary").alias(x) for x in _AROUND]
+        side = around.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.struct(*fields).alias(name))
         side = F.broadcast(side) if broadcastable(side, MOST_ROWS // 5) else side
         return df.join(side, (F.col(key) == F.col("_id")) & (F.col(at) == F.col("_at")), "left").drop("_id", "_at")
 
-    full = runs.drop("nodes")
-    for key, at, name in (("id", "at", "a"), ("id", "last", "b"), ("first", "k_at", "c"), ("first", "k_last", "d")):
-        full = with_context(full, key, at, name)
+    plain, altered = runs.drop("nodes").where("equal"), runs.drop("nodes").where("not equal")
+    left, right = ["before", "before_at"], ["after", "after_at"]
+    for key, at, name, wanted in (("id", "at", "a", left), ("id", "last", "b", right), ("first", "k_at", "c", left), ("first", "k_last", "d", right)):
+        plain = with_context(plain, key, at, name, wanted)
+    for key, at, name in (("id", "at", "a"), ("first", "k_at", "c")):
+        altered = with_context(altered, key, at, name, _AROUND)
+    full = plain.unionByName(altered, allowMissingColumns=True)
     names = ["id", "first", "start", "end", "words", "k_start", "k_end", "k_words", "class"]
     schema = f"id {kind}, first {kind}, start int, end int, words int, k_start int, k_end int, k_words int, class bigint"
 
@@ -436,10 +451,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     with scratch(docs.sparkSession):
-        named, classes = _classes(_paragraphs(rows, kind), similarity)
+        with scratch(docs.sparkSession):
+            named, classes = _classes(_paragraphs(rows, kind), similarity)
         line = named.where((F.col("kind") == _LINE) & (F.col("words") >= least_words)).join(classes, F.col("root") == F.col("_root"))
         line = line.select("id", "start", "end", "words", F.xxhash64("root").alias("class"), "first")
-        every = _passages(rows, line, _runs(named, classes, kind), kind, similarity, least_words)
+        with scratch(docs.sparkSession):
+            runs = _runs(named, classes, kind)
+        every = _passages(rows, line, runs, kind, similarity, least_words)
         inner = every.where("class is null")
         name = F.xxhash64("first", "k_start", "k_end").alias("class")
         line = every.where("class is not null").select("id", "start", "end", "words", F.lit("line").alias("kind"), "class", "first")
