@@ -90,6 +90,11 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that `materialise` has written."""
     files = table.inputFiles()

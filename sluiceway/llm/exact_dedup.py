@@ -5,8 +5,9 @@ different rows goes into the filter of possible repeats.  Pass 2 tests each row:
 rows with all bits in that filter are shuffled and grouped by the full SHA-256, the rest
 pass straight through.  The filter errs on one side only, so results are exact.
 
-The filter is bounded: beyond MAX_BITS the hashes are dealt into classes and one filter
-is built for each class in turn, over the small table of hashes alone.
+The filter is bounded: beyond MAX_BITS the hashes are dealt into classes, written apart in one
+pass over the small table of hashes.  A filter is built for each class in turn from its own part
+alone, tested there and destroyed before the next, so that workers hold one at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, map_arrow, materialise, read_table
+from .bloom import build
+from .common import binary, exists, map_arrow, materialise, new_path, read_table, scratch
 
 BITS_PER_KEY, PROBES = 8, 3
 #: Of one filter: 64 MB, the most that is broadcast.
 MAX_BITS = 1 << 29
 SEGMENT = 1 << 16
+#: That build one filter: each counts about a million hashes of the 67 million of a full one.
+TASKS = 64
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -55,10 +59,6 @@ def _positions(digests: list[bytes], bits: int) -> np.ndarray:
     return at
 
 
-def _in_class(digests: list[bytes], number: int, classes: int) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8").reshape(len(digests), 4)[:, 3] % np.uint64(classes) == np.uint64(number)
-
-
 def _or_counts(seen: np.ndarray, twice: np.ndarray, at: np.ndarray) -> None:
     bit, n = np.unique(at[at >= 0], return_counts=True)
     byte, mask = bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8)
@@ -67,8 +67,8 @@ def _or_counts(seen: np.ndarray, twice: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(seen, byte, mask)
 
 
-def repeats_filter(hashes: DataFrame, bits: int, number: int = 0, classes: int = 1) -> bytes:
-    """The bitmap of bits that at least two rows of a class set.  Tasks count in two bitmaps;
+def repeats_filter(hashes: DataFrame, bits: int) -> bytes:
+    """The bitmap of bits that at least two rows set.  Tasks count in two bitmaps;
     their segments are merged by segment, and only the merged bitmap comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +76,7 @@ def repeats_filter(hashes: DataFrame, bits: int, number: int = 0, classes: int =
         for batch in batches:
             digests = batch.column(0).to_pylist()
             if digests:
-                at = _positions(digests, bits)
-                _or_counts(seen, twice, at[_in_class(digests, number, classes)] if classes > 1 else at)
+                _or_counts(seen, twice, _positions(digests, bits))
         for k in range(0, len(seen), SEGMENT):
             if seen[k : k + SEGMENT].any():
                 yield pa.RecordBatch.from_pydict({"segment": [k // SEGMENT], "seen": [seen[k : k + SEGMENT].tobytes()], "twice": [twice[k : k + SEGMENT].tobytes()]}, pa.schema([("segment", pa.int64()), ("seen", pa.binary()), ("twice", pa.binary())]))
@@ -96,9 +95,10 @@ def repeats_filter(hashes: DataFrame, bits: int, number: int = 0, classes: int =
             yield pa.RecordBatch.from_pydict({"segment": [k], "twice": [t.tobytes()]}, pa.schema([("segment", pa.int64()), ("twice", pa.binary())]))
 
     segments = -(-bits // 8 // SEGMENT) or 1
-    counted = hashes.select("sha").coalesce(64).mapInArrow(count, "segment long, seen binary, twice binary")
+    # each task sends the segments that it has set: so many tasks as the cluster has use for, and no more
+    counted = hashes.select("sha").coalesce(TASKS).mapInArrow(count, "segment long, seen binary, twice binary")
     out = bytearray(-(-bits // 8))
-    for row in counted.repartition(min(segments, 64), "segment").mapInArrow(merge, "segment long, twice binary").toLocalIterator():
+    for row in counted.repartition(min(segments, TASKS), "segment").mapInArrow(merge, "segment long, twice binary").toLocalIterator():
         out[row.segment * SEGMENT : row.segment * SEGMENT + len(row.twice)] = row.twice
     return bytes(out)
 
@@ -109,37 +109,35 @@ def _test(digests: list[bytes], bitmap: np.ndarray, bits: int) -> np.ndarray:
     return np.where(at < 0, 1, hit).all(axis=1)
 
 
-class RepeatFilters:
-    """Bounded filters over all rows of a table of hashes, one for each class of hashes."""
-
-    def __init__(self, hashes: DataFrame, rows: int, max_bits: int = MAX_BITS):
-        self.classes = max(1, -(-rows * BITS_PER_KEY // max_bits))
-        self.bits = max(1 << 12, min(max_bits, rows * BITS_PER_KEY // self.classes))
-        context = hashes.sparkSession.sparkContext
-        self.kept = [context.broadcast(repeats_filter(hashes, self.bits, k, self.classes)) for k in range(self.classes)]
-
-    def test(self, digests: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each class: which digests are of it, and which of these another row may have too."""
-        out = []
-        for number, kept in enumerate(self.kept):
-            own = _in_class(digests, number, self.classes) if self.classes > 1 else np.ones(len(digests), bool)
-            out.append((own, own & _test(digests, np.frombuffer(kept.value, np.uint8), self.bits)))
-        return out
-
-    def maybe(self, digests: list[bytes]) -> np.ndarray:
-        return np.logical_or.reduce([m for _, m in self.test(digests)])
-
-
-def mark(hashes: DataFrame, filters: RepeatFilters) -> DataFrame:
+def _marked(hashes: DataFrame, max_bits: int) -> DataFrame:
     """`hashes` with `maybe`: whether another row may have the same hash (never wrongly false)."""
+    spark, rows = hashes.sparkSession, hashes.count()
+    classes = max(1, -(-rows * BITS_PER_KEY // max_bits))
+    bits = max(1 << 12, min(max_bits, rows * BITS_PER_KEY // classes))
+    kind = hashes.schema["id"].dataType.simpleString()
+    with scratch(spark):
+        if classes > 1:
+            number = F.pmod(F.xxhash64("sha"), F.lit(classes)).cast("int")
+            path = new_path(spark, "classes")
+            hashes.withColumn("class", number).repartition("class", F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(8))).write.partitionBy("class").parquet(path)
+            parts = [spark.read.schema(hashes.schema).parquet(f"{path}/class={k}") for k in range(classes) if exists(spark, f"{path}/class={k}")]
+        else:
+            parts = [hashes]
+        out = []
+        for part in parts:
+            kept = spark.sparkContext.broadcast(repeats_filter(part, bits))
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if batch.num_rows:
-            maybe = pa.array(filters.maybe(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, maybe], [*batch.schema.names, "maybe"])
+            def run(batch: pa.RecordBatch, kept=kept) -> Iterator[pa.RecordBatch]:
+                if batch.num_rows:
+                    maybe = _test(batch.column(1).to_pylist(), np.frombuffer(kept.value, np.uint8), bits)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*batch.schema.names, "maybe"])
 
-    kind = hashes.schema["id"].dataType.simpleString()
-    return map_arrow(hashes, run, f"id {kind}, sha binary, points long, maybe boolean")
+            out.append(materialise(map_arrow(part, run, f"id {kind}, sha binary, points long, maybe boolean"), "marked", keep=True))
+            kept.destroy()
+    every = out[0] if out else hashes.withColumn("maybe", F.lit(False))
+    for more in out[1:]:
+        every = every.unionAll(more)
+    return every
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -157,8 +155,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     points stays, then the smallest id (null first).  An empty table gives no rows.  Rows that
     repeat an id and its text wholly are one document: all have the same keep_id and kept, each
     counts in group_size.  Other columns are ignored whatever their names."""
-    hashes = materialise(text_hashes(docs, id_col, text_col), "hashes")
-    marked = materialise(mark(hashes, RepeatFilters(hashes, hashes.count(), max_bits)), "marked")
+    marked = _marked(materialise(text_hashes(docs, id_col, text_col), "hashes"), max_bits)
     maybe = marked.where("maybe")
     # the groups are written first, so that this join shuffles both its sides and a hot text can be split
     found = maybe.join(materialise(groups(maybe), "groups"), F.col("sha") == F.col("_sha"), "left")
@@ -172,17 +169,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """docs without all but one row of each group of equal texts, as `exact_dedup` chooses it;
-    columns are as they were.  Rows that cannot repeat pass straight through; only the others
-    are joined.  Of rows that repeat both id and length one stays, whichever."""
-    hashes = materialise(text_hashes(docs, id_col, text_col), "hashes")
-    filters = RepeatFilters(hashes, hashes.count(), max_bits)
-    best = materialise(groups(mark(hashes, filters).where("maybe")), "groups")
+    columns are as they were.  A filter over the hashes of groups lets rows that cannot repeat pass
+    where they are read; only the others are joined.  Null counts as empty, so one of all null and blank texts stays; null ids come first.  Of rows
+    that repeat both id and length one stays, whichever.  An empty table stays empty."""
+    marked = _marked(materialise(text_hashes(docs, id_col, text_col), "hashes"), max_bits)
+    best = materialise(groups(marked.where("maybe")), "groups")
+    word = F.conv(F.substring(F.hex("_sha"), 1, 15), 16, 10).cast("long")
+    repeats = docs.sparkSession.sparkContext.broadcast(build(best.select(word.alias("word")), best.count()))
     names, at = docs.columns, docs.columns.index(text_col)
 
     def part(wanted: bool, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             sha = [_digest(x) for x in binary(batch.column(at)).to_pylist()]
-            keep = filters.maybe(sha) == wanted
+            words = np.frombuffer(b"".join(x[:8] for x in sha), ">u8") >> np.uint64(4)
+            keep = repeats.value.test(words.astype(np.int64)) == wanted
             if wanted:
                 batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], [*batch.schema.names, "__sha"])
             yield batch.filter(pa.array(keep))

@@ -60,16 +60,29 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = rows.select("id", "fetched", F.xxhash64("url").alias("tie"), host(F.col("url")).alias("host"), F.lower(path(F.col("url"))).alias("path")).withColumn("whole", F.concat("host", "path"))
     keys = [F.when(_count("host", ".") + 1 >= d, F.substring_index("host", ".", -d)) for d in sorted(by_host)]
     keys += [F.when(_count("whole", "/") >= d, F.substring_index("whole", "/", d + 1)) for d in sorted(by_path)]
-    # the empty key, which no pattern equals, counts the captures
-    every = F.when(F.col("host") != "", F.array(F.lit(""), *keys)).otherwise(F.array(F.lit("")))
-    exploded = rows.select("id", "fetched", "tie", "host", F.explode(F.filter(F.array_distinct(every), lambda k: k.isNotNull())).alias("key"))
+    keyed = rows.withColumn("keys", F.when(F.col("host") != "", F.filter(F.array_distinct(F.array(*keys)), lambda k: k.isNotNull())) if keys else F.lit(None).cast("array<string>"))
+    # captures without a key stay out of the join, and each has a number by which its matches come back
+    numbered = materialise(keyed.withColumn("n", F.monotonically_increasing_id()), "captures")
+    exploded = numbered.select("n", "fetched", F.explode("keys").alias("key"))
     side = F.broadcast(spans) if broadcastable(spans, most_intervals) else spans
-    active = (F.col("key") == F.col("pattern")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    best = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("size"), (F.col("verdict") == "block").alias("block"), "pattern")))
-    # keys of a capture stand in one task, so this combines them before one row each is shuffled
-    found = exploded.join(side, active, "left").groupBy("id", "fetched", "tie", "host").agg(F.count_if(F.col("key") == "").alias("copies"), F.count("pattern").alias("n"), F.array_sort(F.collect_set("list")).alias("lists"), best.alias("best"))
-    each = found.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select(F.col("id").alias(id_col), "host", "fetched", (F.col("n") / F.col("copies")).cast("long").alias("n_active"), F.array_join("lists", ",").alias("lists"), F.col("best.pattern").alias("decided_by"), F.coalesce("best.block", F.lit(False)).alias("blocked"))
+    met = exploded.join(side, _active(F.col("fetched"), F.col("key")))
+    found = met.groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct(*_FIELDS)).alias("found"))  # no more than the intervals that hold for one capture
+    return _decided(numbered.join(found, F.col("n") == F.col("_n"), "left").select("id", "fetched", "host", "found"), id_col)
+
+
+_FIELDS = ["list", "verdict", "pattern"]
+
+
+def _active(fetched: Column, key: Column) -> Column:
+    return (key == F.col("pattern")) & (fetched >= F.col("valid_from")) & (F.col("valid_to").isNull() | (fetched < F.col("valid_to")))
+
+
+def _decided(captures: DataFrame, id_col: str) -> DataFrame:
+    """The result of captures (id, fetched, host, found): found is what holds for each."""
+    best = F.array_max(F.transform("found", lambda x: F.struct(F.length(x["pattern"]).alias("size"), (x["verdict"] == "block").alias("block"), x["pattern"].alias("pattern"))))
+    n = F.when(F.col("found").isNull(), 0).otherwise(F.size("found"))
+    lists = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["list"]))), ",")
+    return captures.withColumn("_best", best).select(F.col("id").alias(id_col), "host", "fetched", n.cast("long").alias("n_active"), F.coalesce(lists, F.lit("")).alias("lists"), F.col("_best.pattern").alias("decided_by"), F.coalesce("_best.block", F.lit(False)).alias("blocked"))
 
 
 DAY = "2024-01-01"
@@ -79,7 +92,7 @@ def example_lists(pages: DataFrame) -> DataFrame:
     """Dated entries made from the hosts of `pages`, whose smallest page_id m settles all else:
     hosts that are listed, taken off and listed again, sections of hosts, whole parent domains,
     and sections that are trusted."""
-    hosts = pages.groupBy(host(F.col("url")).alias("host")).agg(F.min("page_id").alias("m")).where("host <> '' and m is not null")
+    hosts = materialise(pages.groupBy(host(F.col("url")).alias("host")).agg(F.min("page_id").alias("m")).where("host <> '' and m is not null"), "hosts")
 
     def entry(name: str, verdict: str, pattern: str, day: str, op: str, where: str) -> DataFrame:
         return hosts.where(where).select(F.lit(name).alias("list"), F.lit(verdict).alias("verdict"), F.expr(pattern).alias("pattern"), F.expr(f"date_add(DATE '{DAY}', cast({day} as int))").alias("at"), F.lit(op).alias("op"))

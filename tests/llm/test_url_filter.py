@@ -49,3 +49,12 @@ def test_against_brute_force(spark, most):
 def test_only_dataframe_functions(spark):
     plan = u.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_captures_of_one_host_and_without_any(spark):
+    entries = spark.createDataFrame([("l", "block", "hot.example", date(2024, 1, 1), "add"), ("l", "block", "other.example", date(2024, 1, 1), "add")], "list string, verdict string, pattern string, at date, op string")
+    rows = [(k, None if k % 3 == 0 else "http://hot.example/" + "p" * (20_000 if k == 1 else 3), date(2024, 2, 1)) for k in range(900)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date").repartition(3)
+    for most in (1000, 0):
+        found = u.filter_urls(captures, entries, most_intervals=most).collect()
+        assert {r.page_id: (r.blocked, r.n_active, r.lists) for r in found} == {k: (k % 3 > 0, int(k % 3 > 0), "l" if k % 3 else "") for k in range(900)}
