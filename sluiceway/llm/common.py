@@ -157,14 +157,19 @@ _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, text: int | None = None) -> DataFrame:
     """mapInArrow over batches, cut to bounded slices by the text column if one is named."""
-    if df.sparkSession.conf.get(_ARROW, None) is None:
-        df.sparkSession.conf.set(_ARROW, str(ARROW_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text) if text is not None else [batch]:
                 yield from fn(part)
 
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, unless the session says how large they are."""
+    if df.sparkSession.conf.get(_ARROW, None) is None:
+        df.sparkSession.conf.set(_ARROW, str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -7,26 +7,33 @@ windows of its suffix-hash bucket (after a test of their first bytes), and a dir
 confirms.  Many stretches of a batch of documents advance in step, so that the skipping runs
 in numpy.  Windows are kept in classes by length, lest a short one shorten every shift.
 
-The search tables are bounded: beyond MAX_WINDOWS the items are dealt into parts, and the
-documents are searched for each part.
+The search tables are bounded: beyond MAX_WINDOWS the items are dealt into parts, whose tables lie
+in the shared folder.  Documents are read once: a worker gathers a block of them, takes up one part
+after another, and searches the block for each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import FOLD_TABLE, binary, map_arrow, read_table
+from .common import FOLD_TABLE, binary, map_arrow, map_batches, new_path, read_table, slices
+from .store import open_read, open_write
 
 WINDOW = 10
 #: Windows in one set of tables, which is broadcast.
 MAX_WINDOWS = 200_000
+#: Text that a worker gathers where there are several parts.
+BLOCK_BYTES = 64 << 20
 #: Windows of these many bytes or more stand in one class.
 CLASSES = (32, 16, 8, 0)
 LANE = 1024
@@ -167,39 +174,73 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     Null texts, on either side, have no words and match nothing; an empty benchmark leaves every
     document clean.  Repeated items count once for their id; items without id mark words but are
     not listed.  Repeated documents have a row each.  Only the named columns are read."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
     want = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    parts = []
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    split = _parts(benchmark, item_col, item_text, n, max_windows)
-    for part in split:
-        index = spark.sparkContext.broadcast(Index([(r.item, r.text.encode()) for r in part.toLocalIterator()], n))
-
-        def run(batch: pa.RecordBatch, index=index) -> Iterator[pa.RecordBatch]:
-            counts, spans, items = index.value.search(binary(batch.column(1)).to_pylist())
-            rest = pa.RecordBatch.from_pydict({"n_words": counts, "spans": [[{"a": a, "b": b} for a, b in sorted(set(x))] for x in spans], "items": [sorted(x) for x in items]}, want)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest.columns], ["id", *want.names])
-
-        source = texts if len(split) == 1 else texts.withColumn("_text", F.xxhash64("text"))
-        parts.append(map_arrow(source.select("id", "text"), run, schema, 1) if len(split) == 1 else _keyed(source, run, schema))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionAll(part)
-    merged = every.groupBy("id", "_text", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("_n"))
-    rows = merged.withColumn("_k", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(parts)).cast("int"))))
-    return rows.select(F.col("id").alias(id_col), "n_words", "spans", "items")
-
 
-def _keyed(source: DataFrame, run, schema: str) -> DataFrame:
-    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for out in run(batch):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], [*out.schema.names, "_text"])
+    def row(batch: pa.RecordBatch, counts: list[int], spans: list[set], items: list[set]) -> pa.RecordBatch:
+        rest = pa.RecordBatch.from_pydict({"n_words": counts, "spans": [[{"a": a, "b": b} for a, b in sorted(x)] for x in spans], "items": [sorted(x) for x in items]}, want)
+        return pa.RecordBatch.from_arrays([batch.column(0), *rest.columns], ["id", *want.names])
 
-    return map_arrow(source, keyed, schema + ", _text long", 1)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _searched(texts, Tables(_parts(benchmark, item_col, item_text, n, max_windows), n), row, schema, 1).withColumnRenamed("id", id_col)
+
+
+@lru_cache(maxsize=2)
+def _table(uri: str) -> Index:
+    with open_read(uri) as f:
+        return pickle.loads(f.read())
+
+
+class Tables:
+    """The search tables of all parts: broadcast if there is one, in files of the shared folder otherwise."""
+
+    def __init__(self, parts: list[DataFrame], n: int):
+        self.one, self.uris = None, []
+        for part in parts:  # one at a time is in the driver's memory
+            spark, index = part.sparkSession, Index([(r.item, r.text.encode()) for r in part.toLocalIterator()], n)
+            if len(parts) == 1:
+                self.one = spark.sparkContext.broadcast(index)
+                continue
+            self.uris.append(new_path(spark, "windows"))
+            with open_write(self.uris[-1]) as f:
+                f.write(pickle.dumps(index, pickle.HIGHEST_PROTOCOL))
+
+    def each(self) -> Iterator[Index]:
+        if self.one is not None:
+            yield self.one.value
+        for uri in self.uris:
+            yield _table(uri)
+
+
+def _searched(df: DataFrame, tables: Tables, make: Callable[..., pa.RecordBatch], schema: str | T.StructType, at: int) -> DataFrame:
+    """What `make` gives for slices of df with the words, spans and items that all parts find in text column `at`."""
+    limit = BLOCK_BYTES if tables.uris else 0
+
+    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, spans, items = [[] for _ in parts], [[set() for _ in range(p.num_rows)] for p in parts], [[set() for _ in range(p.num_rows)] for p in parts]
+        for index in tables.each():
+            for k, part in enumerate(parts):
+                counts[k], own, named = index.search(binary(part.column(at)).to_pylist())
+                for d in range(part.num_rows):
+                    spans[k][d].update(own[d])
+                    items[k][d] |= named[d]
+        for part, *rest in zip(parts, counts, spans, items, strict=True):
+            yield make(part, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, at):
+                held.append(part)
+                size += part.column(at).nbytes
+                if size >= limit:
+                    yield from found(held)
+                    held, size = [], 0
+        if held:
+            yield from found(held)
+
+    return map_batches(df, run, schema)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -217,18 +258,16 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs without those in which a window of the benchmark occurs; no row is shuffled."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    schema, names = docs.schema, docs.columns
-    for part in _parts(benchmark, item_col, item_text, n, max_windows):
-        index = spark.sparkContext.broadcast(Index([(r.item, r.text.encode()) for r in part.toLocalIterator()], n))
-
-        def run(batch: pa.RecordBatch, index=index) -> Iterator[pa.RecordBatch]:
-            _, spans, _ = index.value.search(binary(batch.column(at)).to_pylist())
-            yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
-
-        docs = map_arrow(docs, run, schema, at)
-    return docs.toDF(*names)
+    """docs without those in which a window of the benchmark occurs; no row is shuffled.  Null and
+    empty texts have no words and stay, as do all documents if the benchmark is empty or null; rows
+    that repeat stay or go alike; an empty table stays empty."""
+    at, names = docs.columns.index(text_col), docs.columns
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
+
+    def clean(batch: pa.RecordBatch, counts: list[int], spans: list[set], items: list[set]) -> pa.RecordBatch:
+        return batch.filter(pa.array([not x for x in spans], pa.bool_()))
+
+    return _searched(docs.toDF(*plain.names), Tables(_parts(benchmark, item_col, item_text, n, max_windows), n), clean, plain, at).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
