@@ -19,6 +19,7 @@ from ..operators.consume import consume
 from ..operators.sharding import ShardingStrategy, shards_by_count, shards_by_item
 from ..sources.shards import ArrowDatasetWriter, JsonDatasetWriter, read_shards
 from ..streaming.sink import write_stream
+from . import usage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local")
+        local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
         base = tempfile.mkdtemp(prefix="sluiceway-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sluiceway"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -208,17 +209,12 @@ def time_weighted_ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_weighted_ema(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], seconds, "value", 0.001).select("user_id", F.round("ema", 6).alias("ema"))
 
 
-def stage_time_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and average value per event type, as status rows are brought together per stage."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("average"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         map_array_max, map_row_expr, map_row_python, map_batched, map_batched_python, map_overwrite_column, filter_native, filter_python, filter_map_chain, compose_steps,
         select_columns, skip, take, step, shuffle_rows, rebatch, rebatch_drop_last, shard_sample_count, shard_sample_item, shard_item_totals, parse_size, cast_schema,
-        sink_arrow_roundtrip, sink_json_roundtrip, sink_file_size, sink_split_dict, sink_manifest_rows, sink_stream, consume_counts, consume_skip_bad_batches, ema_fold, time_weighted_ema_fold, stage_time_averages,
+        sink_arrow_roundtrip, sink_json_roundtrip, sink_file_size, sink_split_dict, sink_manifest_rows, sink_stream, consume_counts, consume_skip_bad_batches, ema_fold, time_weighted_ema_fold,
     )
 }
 
@@ -267,5 +263,7 @@ SELECT p_partkey, size, coalesce(CAST(CAST(regexp_extract(size, '^[0-9]+') AS DO
     "time_weighted_ema_fold": """
 SELECT user_id, round(list_reduce(list({'x': value, 's': epoch_us(ts) / 1e6} ORDER BY ts, event_id),
   lambda a, b: {'x': exp(-0.001 * (b.s - a.s)) * b.x + (1 - exp(-0.001 * (b.s - a.s))) * a.x, 's': b.s}).x, 6) AS ema FROM events GROUP BY user_id""",
-    "stage_time_averages": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS average FROM events GROUP BY event_type",
 }
+
+QUERIES |= usage.QUERIES
+ORACLE_SQL |= usage.ORACLE_SQL
