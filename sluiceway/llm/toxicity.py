@@ -312,7 +312,8 @@ def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     of neighbouring tokens whose marginal is one half or more).
 
     Texts are scored whole.  Null and empty texts, and those without words, have no spans and the
-    score of a document without any toxic token.  Only the two columns are read."""
+    score of a document without any toxic token.  Rows that repeat, or share an id, have a row each;
+    an empty table gives no rows.  Only the two columns are read."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -337,7 +338,9 @@ def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without those that score `threshold` or more; no row is shuffled."""
+    """docs without those that score `threshold` or more; no row is shuffled.  Null and empty texts
+    have the score of a text without any toxic token; rows that repeat stay or go alike; an empty
+    table stays empty.  Columns are as they were, whatever their names."""
     kept, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

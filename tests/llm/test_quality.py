@@ -1,5 +1,10 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sluiceway.llm import quality
 
@@ -52,3 +57,46 @@ def test_without_labels_and_without_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r.log_weight for r in quality.resample(awkward(spark), none).collect()} == {0.0}
     assert quality.resample(empty(spark), none).count() == 0
+
+
+def plain_grams(text):
+    """Words, pairs of neighbours and triples of bytes, without hashing."""
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    data = (text or "").encode()
+    return [*words, *zip(words, words[1:], strict=False), *(data[k : k + 3] for k in range(len(data) - 2))]
+
+
+def test_whole_query_against_models_of_plain_grams(spark):
+    texts = [None, "", "up a hill", "up up a hill", "down é lane", "A hill", "lane", "up a lane"]
+    rows = [(k, texts[k % 8]) for k in range(64)]
+    labels = [(k, int(k % 8 in (2, 3, 5)), 0) for k in range(32)]
+    held = {r.k for r in spark.range(64).select(F.col("id").alias("k"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("h")).where("h").collect()}
+    distinct = {g for t in texts for g in plain_grams(t)}
+    bins = {b for t in texts for b in quality.grams(pa.array([t or ""]))[0].tolist()}
+    assert len(bins) == len(distinct), "these few grams share no bin, so hashing changes nothing"
+    target, raw = Counter(), Counter()
+    for k, text in rows:
+        raw.update(plain_grams(text))
+        if k < 32 and labels[k][1] and k not in held:
+            target.update(plain_grams(text))
+    size = 1 << quality.BITS
+    p = lambda of, g: math.log((of[g] + quality.SMOOTHING) / (sum(of.values()) + quality.SMOOTHING * size))
+    weights = {k: sum(p(target, g) - p(raw, g) for g in plain_grams(text)) for k, text in rows}
+    noise = {r.k: r.x for r in spark.range(64).select(F.col("id").alias("k"), F.xxhash64(F.col("id"), F.lit(quality.SEED)).alias("x")).collect()}
+
+    def mixed(x):
+        x &= 2**64 - 1
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & 2**64 - 1
+        return x ^ x >> 31
+
+    keys = {k: w - math.log(-math.log(((mixed(noise[k]) >> 11) + 0.5) / 2**53)) for k, w in weights.items()}
+    known = [k for k in range(32) if k not in held]
+    share = (sum(labels[k][1] for k in known) + 1) / (len(known) + 1)
+    top = set(sorted(keys, key=keys.get, reverse=True)[: round(share * 64)])
+    found = quality.resample(awkward(spark, rows).repartition(3), spark.createDataFrame(labels, LABELS)).collect()
+    for r in found:
+        assert r.n_grams == len(plain_grams(texts[r.doc_id % 8]))
+        assert math.isclose(r.log_weight, weights[r.doc_id], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.key, keys[r.doc_id], rel_tol=1e-9, abs_tol=1e-9)
+    assert {r.doc_id for r in found if r.kept} == top

@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -68,6 +71,67 @@ def test_awkward_rows_score_alike_in_any_company(spark, model):
     assert t.tag(empty(spark), model).count() == 0 and t.drop_toxic(empty(spark), model).count() == 0
 
 
+def brute_score(text, model):
+    """One text's score from its words, one after another; weights of a word are looked up by itself."""
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    def weight(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        start, end, _, whole = t.words(data, np.array([0, len(data)]))
+        return float(model.weights[t.features(data, start, end, whole)].sum()) + model.bias
+
+    e = np.array([weight(w) for w in words])
+    p = brute_marginals(e, np.arange(len(e)) == 0, model) if len(e) else np.zeros(0)
+    top = min(max([1e-6, *p]), 1 - 1e-6)
+    x = model.document @ np.array([1.0, np.log(top / (1 - top)), np.log1p(p.sum())])
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def test_the_query_against_one_word_after_another(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, rows = t.train(docs, labels), docs.collect()
+    got = {r.doc_id: r for r in t.query(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        score = brute_score(r.text, model)
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5)
+
+
+def log_likelihood(e, y, model):
+    """Of the labels of one text, by the forward algorithm."""
+    step, w = np.exp(model.step), np.stack([np.ones(len(e)), np.exp(e)], axis=1)
+    ahead = np.exp(model.start) * w[0]
+    path = np.log(ahead[int(y[0])])
+    for k in range(1, len(e)):
+        path += np.log(step[int(y[k - 1]), int(y[k])] * w[k, int(y[k])])
+        ahead = ahead @ step * w[k]
+    return path - np.log(ahead.sum())
+
+
+def test_the_fit_climbs_to_where_no_step_helps():
+    r = np.random.default_rng(4)
+    n, kinds = 40, 12
+    bins = np.stack([r.integers(0, kinds, 1200)] * 1, axis=1).astype(np.int32)
+    y = (bins[:, 0] < 3) & (r.random(1200) < 0.9)
+    first = np.arange(1200) % n == 0
+    model = t.fit_chain(bins, first, y, np.arange(kinds), epochs=300, rate=0.05)
+    texts = [(bins[k : k + n], y[k : k + n]) for k in range(0, 1200, n)]
+    total = lambda m: sum(log_likelihood(t.emissions(b, m), own, m) for b, own in texts)
+    best = total(model)
+    assert best > total(t.Model(np.zeros_like(model.weights), -2.0, np.zeros((2, 2)), np.zeros(2), np.zeros(3))) + 100
+    for k in [*range(kinds), "bias"]:
+        for by in (-0.5, 0.5):
+            weights = model.weights.copy()
+            if k != "bias":
+                weights[k] += by
+            moved = t.Model(weights, model.bias + (by if k == "bias" else 0), model.step, model.start, model.document)
+            assert total(moved) < best + 0.5
+
+
 def test_labels_of_one_kind_or_none(spark):
     for flags in ([], [True], [False, False]):
         m = t.fit(["some text"] * len(flags), flags)
