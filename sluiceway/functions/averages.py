@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,23 +60,43 @@ class TimeWeightedEMA:
         return self.value
 
 
+def _folded(df: DataFrame, keys: list[str], order: list[str], x: Column, weight: Callable[[Column, Column], Column], seconds: Column) -> DataFrame:
+    """keys, n (values) and the state of an average for each key: the first value, then for each one
+    weight * value + (1 - weight) * state, where `weight` is of the seconds of a row and of the row before.
+
+    Such steps compose: a stretch of rows turns a state s into left * s + right.  So the rows of a
+    key are dealt out by range, each stretch is folded by itself, and one row for each stretch is
+    brought together: no task gets all of a key that many rows have.  Null values are left out."""
+    rows = df.where(x.isNotNull()).select(*keys, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], x.cast("double").alias("_x"), seconds.cast("double").alias("_t"))
+    names = [f"_o{k}" for k in range(len(order))]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *keys, *names).withColumn("_p", F.spark_partition_id())
+    ahead = Window.partitionBy("_p", *keys).orderBy(*names)
+    after = ahead.rowsBetween(1, Window.unboundedFollowing)
+    steps = dealt.withColumn("_k", F.row_number().over(ahead)).withColumn("_w", F.when(F.col("_k") > 1, weight(F.col("_t"), F.lag("_t").over(ahead))))
+    # what later rows of the stretch leave of a row: the product of 1 - weight, by logarithms
+    gone = F.sum(F.when(F.col("_w") >= 1.0, F.lit(-1e6)).otherwise(F.log1p(-F.col("_w")))).over(after)
+    steps = steps.withColumn("_left", F.exp(F.coalesce(gone, F.lit(0.0))))
+    first = lambda c: F.max(F.when(F.col("_k") == 1, F.col(c)))
+    stretch = steps.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("n"), first("_t").alias("a"), first("_x").alias("x"), F.max_by("_t", "_k").alias("z"), first("_left").alias("left"), F.coalesce(F.sum(F.when(F.col("_k") > 1, F.col("_x") * F.col("_w") * F.col("_left"))), F.lit(0.0)).alias("right"))
+    lists = stretch.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_p", "a", "x", "z", "left", "right"))).alias("_s"))  # no more than there are partitions
+
+    def step(state: Column, s: Column) -> Column:
+        w = weight(s["a"], state["z"])
+        begun = F.when(state["z"].isNull(), s["x"]).otherwise(w * s["x"] + (1 - w) * state["v"])
+        return F.struct((s["left"] * begun + s["right"]).alias("v"), s["z"].alias("z"))
+
+    nothing = F.struct(F.lit(0.0).alias("v"), F.lit(None).cast("double").alias("z"))
+    return lists.select(*keys, "n", F.aggregate("_s", nothing, step)["v"].alias("_v"))
+
+
 def ema(df: DataFrame, keys: list[str], order: list[str], x: str, smoothing: float = 0.3) -> DataFrame:
-    """EMA per key as a weighted sum: the weight of a row depends on how many come after it.
-    A window numbers rows backwards (it sorts, and spills where need be); no list is collected."""
-    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    keep = F.lit(1 - smoothing)
-    rows = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), F.row_number().over(back).alias("_r"), F.lead(F.lit(1)).over(back).isNull().alias("_first"))
-    share = F.pow(keep, F.col("_r") - 1) * F.when(F.col("_first"), 1.0).otherwise(smoothing)
-    return rows.groupBy(*keys).agg((F.sum(F.col("_x") * share) / (1 - F.pow(keep, F.count("_x")))).alias("ema"))
+    """keys and ema, the value of EMA after all values of the key in the given order."""
+    found = _folded(df, keys, order, F.col(x), lambda t, before: F.lit(smoothing), F.lit(0.0))
+    return found.select(*keys, (F.col("_v") / (1 - F.pow(F.lit(1 - smoothing), F.col("n")))).alias("ema"))
 
 
 def time_weighted_ema(df: DataFrame, keys: list[str], order: list[str], seconds: Column, x: str, decay_rate: float) -> DataFrame:
-    """TimeWeightedEMA per key: what is left of a row is the product of what later rows leave."""
-    ahead = Window.partitionBy(*keys).orderBy(*order)
-    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.where(F.col(x).isNotNull()).withColumn("_t", seconds)
-    weight = F.exp(-F.lit(decay_rate) * (F.col("_t") - F.lag("_t").over(ahead)))
-    rows = rows.select(*keys, *[c for c in order if c not in keys], F.col(x).alias("_x"), F.coalesce(weight, F.lit(1.0)).alias("_w"))
-    log_left = F.when(F.col("_w") >= 1.0, F.lit(-1e6)).otherwise(F.log1p(-F.col("_w")))
-    rows = rows.withColumn("_left", F.exp(F.coalesce(F.sum(log_left).over(back), F.lit(0.0))))
-    return rows.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_w") * F.col("_left")).alias("ema"))
+    """keys and ema, the value of TimeWeightedEMA after all values of the key in the given order."""
+    found = _folded(df, keys, order, F.col(x), lambda t, before: F.exp(-F.lit(decay_rate) * (t - before)), seconds)
+    return found.select(*keys, F.col("_v").alias("ema"))
