@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Text that a worker handles at once; one document is never cut, however long.
 SLICE_BYTES = 1 << 20
 #: Text and other data that Spark hands to a worker at once, where the session does not say.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 MOST_TASKS = 50_000
 
 
