@@ -63,17 +63,17 @@ def token_labels(bins: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: fl
     """Which tokens of toxic documents mark them: those with a feature that is met with `share`
     in toxic documents (were either kind as frequent) and whose test value is `sure` or more;
     where a document has none, those of `least` or more and half that of its strongest token."""
-    size = 1 << BITS
     n_docs = len(toxic)
     best = np.zeros(len(doc))
     for k in range(bins.shape[1]):
-        pairs = np.unique(doc.astype(np.int64) << BITS | bins[:, k])
-        d, f = pairs >> BITS, pairs & (size - 1)
-        a = np.bincount(f[toxic[d]], minlength=size).astype(float)
-        b = np.bincount(f[~toxic[d]], minlength=size).astype(float)
+        own, place = np.unique(bins[:, k], return_inverse=True)  # of the bins that are met, not of all there are
+        pairs = np.unique(doc.astype(np.int64) << BITS | place.ravel())
+        d, f = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        a = np.bincount(f[toxic[d]], minlength=len(own)).astype(float)
+        b = np.bincount(f[~toxic[d]], minlength=len(own)).astype(float)
         n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
         clear = a / n1 >= share * (a / n1 + b / n0)
-        np.maximum(best, np.where(clear, _g2(a, b, n1, n0), 0.0)[bins[:, k]], out=best)
+        np.maximum(best, np.where(clear, _g2(a, b, n1, n0), 0.0)[place.ravel()], out=best)
     top = np.zeros(n_docs)
     np.maximum.at(top, doc, best)
     return toxic[doc] & (best >= least) & (best >= np.minimum(sure, top[doc] / 2))
