@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -52,8 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
-#: Paths written since each `scratch` was opened, the innermost last.
-_OPEN: list[list[str]] = []
+
+
+class _Scopes(threading.local):
+    """Paths written since each `scratch` of this thread was opened, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -66,19 +75,19 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     `scratch` in which it is written, with `keep` as the one around that."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    if len(_OPEN) > keep:
-        _OPEN[-1 - keep].append(path)
+    if len(_SCOPES.open) > keep:
+        _SCOPES.open[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that were written within, but for those kept, and shuffle files."""
-    _OPEN.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _SCOPES.open.pop():
             _delete(spark, path)
         tidy(spark)
 
