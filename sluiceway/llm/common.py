@@ -6,6 +6,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -96,6 +97,7 @@ def tidy(spark: SparkSession) -> None:
     """Lets go of the shuffle files of what is done.  Spark deletes them when the driver collects the
     garbage that stands for them, which a driver with a large heap may not do for long."""
     gc.collect()
+    time.sleep(0.3)  # what Python has let go of is let go of in the JVM by a thread that wakes ten times a second
     spark._jvm.System.gc()
 
 
