@@ -362,6 +362,22 @@ def _joined(runs: list[list], similarity: float) -> Iterator[list]:
         yield held
 
 
+def _overlaid(found: list[list]) -> list[list]:
+    """Passages of one document and keeper, those that overlap as one: words that are said over and over
+    match the keeper at many places.  What names it is the longest of the keeper's."""
+    out: list[list] = []
+    for x in sorted(found):
+        if out and x[0] < out[-1][1]:
+            held = out[-1]
+            if x[1] > held[1]:
+                held[1], held[5] = x[1], x[5]
+            if x[3] - x[2] > held[3] - held[2]:
+                held[2:4], held[6:8] = x[2:4], x[6:8]
+        else:
+            out.append(list(x))
+    return out
+
+
 def _outermost(found: list[list]) -> list[list]:
     """Passages (first, start, end, ...) of one document without those that lie within another whose
     keeper is no later; of equal ones the first in order stays."""
@@ -400,9 +416,8 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
         key, first, held, found, out = None, None, [], [], []
 
         def passages() -> None:
-            for x in _joined(sorted(held), similarity):
-                if min(x[1] - x[0], x[3] - x[2]) >= least:
-                    found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None])
+            for x in _overlaid([x for x in _joined(sorted(held), similarity) if min(x[1] - x[0], x[3] - x[2]) >= least]):
+                found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None])
             held.clear()
 
         def done() -> None:
@@ -442,7 +457,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A line has `least_words` words or more, or PASSAGE_WORDS if that is more, and is in a class with
     lines of other documents; an inner passage is held by its keeper too: word for word, or alike by
     `similarity` where a few words differ.  The keeper has a row (removed is false) for all that
-    others have of it.  What lies within another passage, with a keeper no later, is not listed.
+    others have of it.  Passages with one keeper that overlap are one, though it may have their parts in
+    different places (as words said over and over).  What lies within another passage, with a keeper no later, is not listed.
     Words are runs of letters and digits, A-Z as a-z, whatever stands between them, line breaks too.
 
     Rows with the same id are one document, within which nothing repeats; ties go to the least id.
