@@ -27,7 +27,7 @@ from .common import broadcastable, materialise, scratch, slices
 ROUNDS = 2
 #: Nodes in a block of the last comparison.
 BLOCK = 128
-MOST_BUCKETS = 200_000
+MOST_BUCKETS = 50_000
 #: Tasks that the members of one band are spread over.
 SALTS = 16
 #: Edges whose components one task finds.

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import build
 from .common import binary, broadcastable, map_arrow, materialise, mix, raw, read_table, scratch, windows, words
 from .linking import bucket_members, link, pack
 
@@ -26,7 +27,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 meets in one of 24 bands of 6 with probability 0.9993.
 BANDS, ROWS = 24, 6
 K = BANDS * ROWS
-MOST_IDS = 500_000
+#: Ids that are broadcast as a table.
+MOST_IDS = 100_000
+#: Bits of the filter of ids whose sets are wanted.
+ID_BITS = 1 << 27
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,11 +164,14 @@ def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """node, shingles and weights of rows (id, text)."""
+def _sets(rows: DataFrame, wanted) -> DataFrame:
+    """node, shingles and weights of those rows (key, text) whose keys the broadcast filter has."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(wanted.value.test(np.asarray(batch.column(0)))))
         n = batch.num_rows
+        if not n:
+            return
         h, count, doc = shingle_sets(batch.column(1))
         node = [x.tobytes() for x in digests(h, count, doc, n)]
         at = np.searchsorted(doc, np.arange(n + 1))
@@ -182,9 +189,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     nodes = materialise(sketches.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     members = bucket_members(nodes.select(F.explode("bands").alias("band"), "node"))
     wanted = materialise(members.select("node").distinct().join(nodes.select("node", "id"), "node").select(F.col("node").alias("_node"), F.col("id").alias("_id")), "wanted")
-    side = F.broadcast(wanted.select("_id").distinct()) if broadcastable(wanted, MOST_IDS) else wanted.select("_id").distinct()
-    rows = _two(docs, id_col, text_col).join(side, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = materialise(_sets(rows).join(wanted.select("_node"), F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]), "sets")
+    # a filter of ids in place of their table, whatever their number: texts are not shuffled, and what it lets through too much has no wanted node
+    key = lambda x: F.xxhash64(x).alias("key")
+    ids = docs.sparkSession.sparkContext.broadcast(build(wanted.select(key("_id")), wanted.count(), ID_BITS))
+    sets = materialise(_sets(_two(docs, id_col, text_col).select(key("id"), "text"), ids).join(wanted.select("_node"), F.col("node") == F.col("_node"), "left_semi").dropDuplicates(["node"]), "sets")
+    ids.destroy()
     roots = link(members, sets, 1 - similarity)
     named = sketches.select("id", "node")
     if roots is not None:

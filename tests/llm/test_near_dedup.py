@@ -163,3 +163,15 @@ def test_distance_by_hand():
 def test_texts_without_words_have_their_own_shingle():
     h, count, doc = near_dedup.shingle_sets(pa.array(["!!", " !! ", "??", None, ""]))
     assert doc.tolist() == [0, 1, 2, 3, 4] and h[0] == h[1] != h[2] and h[3] == h[4]
+
+
+def test_ids_whose_sets_are_wanted_are_no_table_of_the_driver(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghij") * 3 + str(r.randrange(99)) for _ in range(40)) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t + " more") for k, t in enumerate(texts[:30])] + [(None, texts[39] + " last")]
+    seen, real = [], near_dedup.F.broadcast
+    monkeypatch.setattr(near_dedup.F, "broadcast", lambda df: seen.append(df.columns) or real(df))
+    found = {q.doc_id: (q.class_id, q.kept) for q in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: (k, True) for k in range(39)} | {39: (None, False), None: (None, True)} | {100 + k: (k, False) for k in range(30)}
+    assert seen and ["_id"] not in seen
+    assert linking.MOST_BUCKETS <= 50_000 and near_dedup.MOST_IDS <= 100_000
