@@ -9,11 +9,12 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ SLICE_BYTES = 1 << 20
 #: Text and other data that Spark hands to a worker at once, where the session does not say.
 ARROW_BYTES = 2 << 20
 MOST_TASKS = 50_000
+#: Share of the driver's heap beyond which garbage is collected when a table is written.
+HEAP_SHARE = 0.25
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -76,6 +79,7 @@ def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     `scratch` in which it is written, with `keep` as the one around that."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    relieve(df.sparkSession)
     if len(_SCOPES.open) > keep:
         _SCOPES.open[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -99,6 +103,25 @@ def tidy(spark: SparkSession) -> None:
     gc.collect()
     time.sleep(0.3)  # what Python has let go of is let go of in the JVM by a thread that wakes ten times a second
     spark._jvm.System.gc()
+    _trim(spark)
+
+
+def relieve(spark: SparkSession) -> None:
+    """Collects the driver's garbage once that and what lives take so much of its heap: broadcast tables
+    and plans of what is done would pile up to the whole heap, beside which the JVM needs as much again
+    for itself.  What it has freed goes back to the system."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > HEAP_SHARE * heap.maxMemory():
+        spark._jvm.System.gc()
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Free parts of the JVM's native memory, which its many threads leave behind, go back to the system."""
+    jvm = spark._jvm
+    with suppress(Py4JError):  # not every JVM can do so
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

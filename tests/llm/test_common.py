@@ -55,3 +55,12 @@ def test_slices_hold_whole_rows():
     parts = list(common.slices(batch, 0, 100))
     assert sum(p.num_rows for p in parts) == 5 and max(p.num_rows for p in parts) < 5
     assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_the_drivers_garbage_goes_when_a_table_is_written(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAP_SHARE", 0, raising=False)
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+    before = full()
+    assert common.materialise(spark.range(3).toDF("id"), "few").count() == 3
+    assert full() > before
+    common._trim(spark)  # whether the JVM can or not
