@@ -194,7 +194,10 @@ def _paragraphs(rows: DataFrame, kind: str) -> DataFrame:
         columns += [pa.array(node, pa.binary()), lists, pa.array([None if x is None else pack(x, np.ones(1))[0] for x in sets], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["id", "kind", "at", "words", "start", "end", "node", "bands", "shingles"])
 
-    return materialise(map_arrow(rows, run, f"id {kind}, kind int, at int, words int, start int, end int, node binary, bands array<long>, shingles binary", 1), "paragraphs")
+    found = materialise(map_arrow(rows, run, f"id {kind}, kind int, at int, words int, start int, end int, node binary, bands array<long>, shingles binary", 1), "paragraphs")
+    any_.destroy()  # the driver's heap holds what it has sent
+    unlike.destroy()
+    return found
 
 
 def _classes(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +290,10 @@ def _contexts(rows: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
     every = map_arrow(rows, run, f"id {kind}, at int, {', '.join(f'{x} binary' for x in _AROUND)}", 1)
     places = [runs.select(F.col(a).alias("_id"), F.col(b).alias("_at")) for a, b in (("id", "at"), ("id", "last"), ("first", "k_at"), ("first", "k_last"))]
     asked = materialise(places[0].unionAll(places[1]).unionAll(places[2]).unionAll(places[3]).distinct(), "asked")
-    return materialise(every.join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi").dropDuplicates(["id", "at"]), "contexts")
+    found = materialise(every.join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi").dropDuplicates(["id", "at"]), "contexts")
+    any_.destroy()
+    unlike.destroy()
+    return found
 
 
 _AROUND = ["before", "before_at", "after", "after_at", "own", "own_begin", "own_end"]

@@ -203,3 +203,16 @@ def test_slide(n):
     x = np.random.default_rng(n).integers(0, 100, 50)
     got = p._slide(x, n, np.minimum)
     assert all(got[k] == x[k : k + n].min() for k in range(50 - n + 1))
+
+
+def test_filters_are_let_go(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    r, made, gone = random.Random(5), [], []
+    build, destroy = p.build, Broadcast.destroy
+    monkeypatch.setattr(p, "build", lambda *a: made.append(1) or build(*a))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(1) or destroy(self, *a))
+    one = text(r, 70)
+    found = p.repeated_passages(spark.createDataFrame([(1, f"{text(r, 9)} {one}"), (2, f"{one} {text(r, 9)}")], "doc_id long, text string")).collect()
+    assert sorted((q.doc_id, q.n_words, q.removed) for q in found) == [(1, 70, False), (2, 70, True)]
+    assert len(gone) == len(made) == 4
