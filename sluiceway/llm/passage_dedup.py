@@ -385,10 +385,11 @@ def _overlaid(found: list[list]) -> list[list]:
 
 
 def _outermost(found: list[list]) -> list[list]:
-    """Passages (first, start, end, ...) of one document without those that lie within another whose
-    keeper is no later; of equal ones the first in order stays."""
+    """Passages (first, start, end, ..., class, own) of one document without those that lie within another
+    whose keeper is no later.  Of those with one keeper and the same ends one stays: a line that the keeper
+    has too (own), else the inner passage, which says what the keeper has, else a line."""
     out, widest = [], None
-    for x in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+    for x in sorted(found, key=lambda x: (x[1], -x[2], x[0], 1 if x[7] is None else 0 if x[8] else 2)):
         if widest is None or x[2] > widest[2] or x[0] < widest[0]:
             out.append(x)
         if widest is None or x[2] > widest[2]:
@@ -398,7 +399,8 @@ def _outermost(found: list[list]) -> list[list]:
 
 def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, similarity: float, least: int) -> DataFrame:
     """id, first, start, end, words, k_start, k_end, k_words of passages of `least` words or more, and
-    of lines (id, first, start, end, words, class), which have no k_; what lies within another is left out."""
+    of lines (id, first, start, end, words, class, own: whether the keeper has the line itself), which
+    have no k_; what lies within another is left out."""
     around = _contexts(rows, runs, kind)
 
     def with_context(df: DataFrame, key: str, at: str, name: str, wanted: list[str]) -> DataFrame:
@@ -423,12 +425,12 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
 
         def passages() -> None:
             for x in _overlaid([x for x in _joined(sorted(held), similarity) if min(x[1] - x[0], x[3] - x[2]) >= least]):
-                found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None])
+                found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None, None])
             held.clear()
 
         def done() -> None:
             passages()
-            out.extend([key, *x] for x in _outermost(found))
+            out.extend([key, *x[:8]] for x in _outermost(found))
             found.clear()
 
         for batch in batches:
@@ -439,7 +441,7 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
                     passages()
                 key, first = row[:2]
                 if row[2] is not None:
-                    found.append([first, row[7], row[8], row[4], None, None, None, row[2]])
+                    found.append([first, row[7], row[8], row[4], None, None, None, row[2], row[11]])
                 else:
                     held.extend(_grown(row[3:], similarity))
             if len(out) > 10_000:
@@ -451,7 +453,7 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     full = full.withColumn("class", F.lit(None).cast("long")).select("id", "first", "class", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", "a", "b", "c", "d")
-    every = full.unionByName(lines.select("id", "first", "class", F.col("words").alias("last"), "start", "end"), allowMissingColumns=True)
+    every = full.unionByName(lines.select("id", "first", "class", F.col("words").alias("last"), "start", "end", F.col("own").alias("equal")), allowMissingColumns=True)
     ordered = every.repartition(n, "id").sortWithinPartitions("id", "first", "at")
     return materialise(ordered.mapInArrow(run, schema), "passages")
 
@@ -464,7 +466,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines of other documents; an inner passage is held by its keeper too: word for word, or alike by
     `similarity` where a few words differ.  The keeper has a row (removed is false) for all that
     others have of it.  Passages with one keeper that overlap are one, though it may have their parts in
-    different places (as words said over and over).  What lies within another passage, with a keeper no later, is not listed.
+    different places (as words said over and over).  What lies within another passage, with a keeper no later, is not listed; of a line and an inner
+    passage with the same ends and keeper, the line is if the keeper has the same line, else the inner one.
     Words are runs of letters and digits, A-Z as a-z, whatever stands between them, line breaks too.
 
     Rows with the same id are one document, within which nothing repeats; ties go to the least id.
@@ -476,7 +479,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         with scratch(docs.sparkSession):
             named, classes = _classes(_paragraphs(rows, kind), similarity)
         line = named.where((F.col("kind") == _LINE) & (F.col("words") >= least_words)).join(classes, F.col("root") == F.col("_root"))
-        line = line.select("id", "start", "end", "words", F.xxhash64("root").alias("class"), "first")
+        heads = line.where("id = first").select(F.col("node").alias("_node"), F.lit(True).alias("own")).distinct()
+        line = line.join(heads, F.col("node") == F.col("_node"), "left").select("id", "start", "end", "words", F.xxhash64("root").alias("class"), "first", F.coalesce("own", F.lit(False)).alias("own"))
         with scratch(docs.sparkSession):
             runs = _runs(named, classes, kind)
         every = _passages(rows, line, runs, kind, similarity, least_words)

@@ -192,6 +192,16 @@ def test_ties_and_different_partners(spark):
     assert sorted((q.doc_id, q.first_id, q.n_words) for q in found) == [(7, 3, 70), (7, 5, 70), (9, 3, 70), (9, 5, 70)]
 
 
+def test_a_line_with_the_ends_of_an_inner_passage_is_listed_if_the_keeper_has_it(spark):
+    r = random.Random(31)
+    whole, one = text(r, 9), text(r, 70)
+    rows = [(1, f"{whole} {one}"), (2, one), (3, f"{whole} {one}")]
+    found = p.repeated_passages(awkward(spark, rows)).collect()
+    assert sorted((q.doc_id, q.n_words, q.kind) for q in found if q.removed) == [(2, 70, "inner"), (3, 79, "line")]
+    inner, own, alike = ([1, 0, 9, 9, *k] for k in ((0, 9, 9, None, None), (None, None, None, 5, True), (None, None, None, 5, False)))
+    assert p._outermost([alike, inner]) == [inner] and p._outermost([inner, own]) == p._outermost([own, inner]) == [own]
+
+
 def test_a_word_said_over_and_over(spark):
     rows = [(1, "echo " * 5000), (2, "echo " * 3000), (3, "la di " * 400), (4, "echo " * 40)]
     found = p.repeated_passages(awkward(spark, rows)).collect()
