@@ -156,6 +156,12 @@ def broadcastable(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """df, which has one row a key, as the side of a join that shuffles: a task holds its share of df
+    in a hash table, so that neither side is sorted."""
+    return df.hint("shuffle_hash")
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A text column as bytes, null as empty."""
     if pa.types.is_null(column.type):
@@ -230,6 +236,16 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1), read only: those for a slice are kept."""
+    if n > SLICE_BYTES + 1:
+        return _powers(base, n)
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = _powers(base, min(SLICE_BYTES + 1, max(2 * n, 1 << 16)))
+        _POWERS[base].flags.writeable = False
+    return _POWERS[base][:n] if n else np.empty(0, np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
@@ -237,6 +253,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text: start, end (bytes in data), document, and a hash of 64 bits.
 
@@ -255,11 +274,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         e = np.empty(0, np.int64)
         return e, e, e, np.empty(0, np.uint64)
     # a word ends where the next byte is outside, or where its document ends
-    outside = np.flatnonzero(~inside)
-    at = np.searchsorted(outside, start)
-    end = np.where(at < len(outside), outside[np.minimum(at, max(0, len(outside) - 1))] if len(outside) else len(data), len(data))
+    last = inside.copy()
+    np.logical_and(inside[:-1], ~inside[1:], out=last[:-1])
+    past = offsets[1:][offsets[1:] > 0] - 1
+    last[past] = inside[past]
+    end = np.flatnonzero(last) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    end = np.minimum(end, offsets[doc + 1])
     return start, end, doc, span_hash(folded, start, end)
 
 

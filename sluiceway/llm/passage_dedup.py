@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build
-from .common import broadcastable, map_arrow, materialise, mix, powers, raw, read_table, scratch, windows, words
+from .common import broadcastable, hashed, map_arrow, materialise, mix, powers, raw, read_table, scratch, windows, words
 from .linking import bucket_members, link, pack
 from .near_dedup import band_names
 
@@ -126,8 +126,9 @@ class Words:
         mine = line >= 0
         first, size = first[keep], size[keep]
         w, owner, _ = windows(self.hash[mine], line[mine], len(first), SHINGLE)
-        order = np.lexsort((w, owner))
-        w, owner = w[order], owner[order]
+        edge = np.searchsorted(owner, np.arange(len(first) + 1)).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            w[a:b].sort()
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
         return first, size, w[new], owner[new]
@@ -142,8 +143,24 @@ def _line_nodes(w: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np
     return node, band_names(np.stack([np.minimum.reduceat(mix(w ^ s), at) for s in _SALTS], axis=1), ROWS)
 
 
+def _names(node: np.ndarray) -> pa.Array:
+    """Names of 64 bits, or of several 64 bits a row, as bytes."""
+    size = 8 * (node.size // max(1, len(node)))
+    data = pa.py_buffer(np.ascontiguousarray(node).astype("<u8").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer((np.arange(len(node) + 1) * size).astype("<i4").tobytes()), data])
+
+
+def _packed(t: Words, at: np.ndarray, wanted: np.ndarray) -> list[bytes | None]:
+    """Shingles of windows as `pack` has them; None where they are not wanted."""
+    rows = np.sort(t.runs(SHINGLE)[at[wanted][:, None] + np.arange(WINDOW - SHINGLE + 1)], axis=1)
+    again = (rows[:, 1:] == rows[:, :-1]).any(axis=1).tolist()
+    found = iter([(np.unique(x) if y else x).astype("<u8").tobytes() for x, y in zip(rows, again, strict=True)])
+    return [next(found) if x else None for x in wanted.tolist()]
+
+
 def _repeated_bands(rows: DataFrame, kind: str) -> DataFrame:
-    """Bands that paragraphs of two documents have: band, mixed (whether these paragraphs differ)."""
+    """Bands that several paragraphs have: band, several (whether in two documents), mixed (whether the
+    paragraphs differ)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = Words(batch.column(1))
@@ -157,41 +174,47 @@ def _repeated_bands(rows: DataFrame, kind: str) -> DataFrame:
 
     every = map_arrow(rows, run, f"id {kind}, band long, node long", 1)
     bounds = every.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("node").alias("c"), F.max("node").alias("d"))
-    return materialise(bounds.where("a <> b").select("band", (F.col("c") != F.col("d")).alias("mixed")), "bands", keep=True)
+    return materialise(bounds.where("a <> b or c <> d").select("band", (F.col("a") != F.col("b")).alias("several"), (F.col("c") != F.col("d")).alias("mixed")), "bands", keep=True)
 
 
 def _paragraphs(rows: DataFrame, kind: str) -> DataFrame:
     """Paragraphs that may repeat: id, kind, at (first word), words, start, end (characters), node,
-    bands, shingles (null where all that meet are equal)."""
+    bands (those in which they meet others than their like), shingles (null if there are none)."""
     with scratch(rows.sparkSession):
         repeated = _repeated_bands(rows, kind)
     context = rows.sparkSession.sparkContext
-    mixed = repeated.where("mixed").select("band")
-    any_, unlike = (context.broadcast(build(x, x.count())) for x in (repeated.select("band"), mixed))
+    any_, unlike = (context.broadcast(build(x, x.count())) for x in (repeated.where(what).select("band") for what in ("several", "mixed")))
+
+    test = lambda bands, of: of.value.test(bands.ravel().view(np.int64)).reshape(bands.shape)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = Words(batch.column(1))
-        test = lambda bands, of: of.value.test(bands.ravel().view(np.int64)).reshape(bands.shape).any(axis=1)
         first, size, w, line = t.lines()
         node, bands = _line_nodes(w, line, len(first))
-        k = np.flatnonzero(test(bands, any_))
-        edge = np.searchsorted(line, np.arange(len(first) + 1))
-        own = [w[edge[x] : edge[x + 1]] if m else None for x, m in zip(k.tolist(), test(bands[k], unlike).tolist(), strict=True)]
+        k, mixed = met(bands)
         if len(k):
-            yield batch_of(t, batch, _LINE, first[k], size[k], [node[x].tobytes() for x in k], bands[k], own)
+            edge = np.searchsorted(line, np.arange(len(first) + 1))
+            own = [pack(w[edge[x] : edge[x + 1]], np.ones(1))[0] if m else None for x, m in zip(k.tolist(), mixed.any(axis=1).tolist(), strict=True)]
+            yield batch_of(t, batch, _LINE, first[k], size[k], node[k], bands[k], mixed, own)
         at, name, bands = t.windows()
-        k = np.flatnonzero(test(bands, any_))
+        k, mixed = met(bands)
         if len(k):
-            shingles, many = t.runs(SHINGLE), np.arange(WINDOW - SHINGLE + 1)
-            own = [np.unique(shingles[x + many]) if m else None for x, m in zip(at[k].tolist(), test(bands[k], unlike).tolist(), strict=True)]
-            yield batch_of(t, batch, _INNER, at[k], np.full(len(k), WINDOW), [x.tobytes() for x in name[k]], bands[k], own)
+            yield batch_of(t, batch, _INNER, at[k], np.full(len(k), WINDOW), name[k], bands[k], mixed, _packed(t, at[k], mixed.any(axis=1)))
 
-    def batch_of(t: Words, batch: pa.RecordBatch, what: int, at: np.ndarray, size: np.ndarray, node: list[bytes], bands: np.ndarray, sets: list) -> pa.RecordBatch:
+    def met(bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paragraphs that another document may have, and the bands in which they meet others than their
+        like, if they do so in one that two documents have."""
+        repeated = test(bands, any_)
+        k = np.flatnonzero(repeated.any(axis=1))
+        mixed = test(bands[k], unlike)
+        return k, mixed & (mixed & repeated[k]).any(axis=1)[:, None]
+
+    def batch_of(t: Words, batch: pa.RecordBatch, what: int, at: np.ndarray, size: np.ndarray, node: np.ndarray, bands: np.ndarray, mixed: np.ndarray, sets: list) -> pa.RecordBatch:
         doc, n = t.doc[at], len(at)
         ints = lambda x: pa.array(x, pa.int32())
-        lists = pa.ListArray.from_arrays(ints(np.arange(n + 1) * bands.shape[1]), pa.array(np.ascontiguousarray(bands).view(np.int64).ravel()))
+        lists = pa.ListArray.from_arrays(ints(np.concatenate([[0], np.cumsum(mixed.sum(axis=1))])), pa.array(bands[mixed].view(np.int64)))
         columns = [batch.column(0).take(pa.array(doc)), ints(np.full(n, what)), ints(at - t.base[doc]), ints(size), ints(t.characters(doc, t.start[at])), ints(t.characters(doc, t.end[at + size - 1]))]
-        columns += [pa.array(node, pa.binary()), lists, pa.array([None if x is None else pack(x, np.ones(1))[0] for x in sets], pa.binary())]
+        columns += [_names(node), lists, pa.array(sets, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["id", "kind", "at", "words", "start", "end", "node", "bands", "shingles"])
 
     found = materialise(map_arrow(rows, run, f"id {kind}, kind int, at int, words int, start int, end int, node binary, bands array<long>, shingles binary", 1), "paragraphs")
@@ -202,15 +225,14 @@ def _paragraphs(rows: DataFrame, kind: str) -> DataFrame:
 
 def _classes(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Paragraphs with `root`, the name of their class; and (_root, first) of classes that two documents have."""
-    unlike = found.where("shingles is not null")
-    members = bucket_members(unlike.select(F.explode("bands").alias("band"), "node").distinct())
-    sets = materialise(unlike.select("node", "shingles", F.lit(b"").alias("weights")).dropDuplicates(["node"]), "sets")
+    members = bucket_members(materialise(found.select(F.explode("bands").alias("band"), "node").distinct(), "banded"))
+    sets = materialise(found.where("shingles is not null").select("node", "shingles", F.lit(b"").alias("weights")).dropDuplicates(["node"]), "sets")
     roots = link(members, sets, 1 - similarity)
-    named = found.select("id", "kind", "at", "words", "start", "end", "node")
-    if roots is not None:
-        named = named.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").drop("_n").withColumn("root", F.coalesce("root", "node"))
-    else:
-        named = named.withColumn("root", F.col("node"))
+    columns = ["id", "kind", "at", "words", "start", "end", "node"]
+    named = found.select(*columns, F.col("node").alias("root"))
+    if roots is not None:  # only what has bands can be in a class with others
+        linked = found.where(F.size("bands") > 0).join(hashed(roots.select(F.col("node").alias("_n"), "root")), F.col("node") == F.col("_n"), "left")
+        named = found.where(F.size("bands") == 0).select(*columns, F.col("node").alias("root")).unionAll(linked.select(*columns, F.coalesce("root", "node").alias("root")))
     named = materialise(named, "named", keep=True)
     classes = named.groupBy("root").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     return named, materialise(classes.select(F.col("root").alias("_root"), "first"), "classes", keep=True)
@@ -221,11 +243,11 @@ def _runs(named: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
     both the first word, the word past the last, the first words of the first and last window, and
     characters; equal (whether the windows are); nodes (names of those at either end)."""
     inner = named.where(F.col("kind") == _INNER)
-    known = materialise(inner.join(classes, F.col("root") == F.col("_root")).select("id", "at", "start", "end", "node", "root", "first"), "known")
+    known = materialise(inner.join(hashed(classes), F.col("root") == F.col("_root")).select("id", "at", "start", "end", "node", "root", "first"), "known")
     # the equal window of the keeper if it has one, else the first of the class
     first_of = lambda by, name: materialise(known.where("id = first").groupBy(F.col(by).alias("_r")).agg(F.min(F.struct("at", "start", "end", "node")).alias(name)), name)
-    placed = known.where("id <> first").join(first_of("root", "k0"), F.col("root") == F.col("_r")).drop("_r")
-    placed = placed.join(first_of("node", "k1"), F.col("node") == F.col("_r"), "left").withColumn("k", F.coalesce("k1", "k0"))
+    placed = known.where("id <> first").join(hashed(first_of("root", "k0")), F.col("root") == F.col("_r")).drop("_r")
+    placed = placed.join(hashed(first_of("node", "k1")), F.col("node") == F.col("_r"), "left").withColumn("k", F.coalesce("k1", "k0"))
     placed = placed.select("id", "first", "at", F.col("k.at").alias("k_at"), "start", "end", F.col("k.start").alias("k_start"), F.col("k.end").alias("k_end"), "node", F.col("k.node").alias("k_node"))
     names = ["id", "first", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", "nodes"]
 
@@ -259,20 +281,39 @@ def _batch(rows: list[list], names: list[str], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[x.split(" ")[1]]) for k, x in enumerate(schema.split(", "))], names)
 
 
+def _place(key: np.ndarray, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A key of 64 bits for a window: of its document's key, its first word and its name."""
+    return mix(mix(key.view(np.uint64) + (at.astype(np.uint64) + np.uint64(1)) * _GOLD) + node.view(np.uint64)).view(np.int64)
+
+
 def _contexts(rows: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
     """Words around windows at the ends of runs: id, at; before, before_at (hashes of up to REACH - 1
     words, the nearest first, and at how many characters before the window they begin); after,
     after_at (the same beyond it, to where they end); and of windows that are not equal to their
     keeper's own, own_begin, own_end (hashes of its words, and where they begin and end)."""
     context = rows.sparkSession.sparkContext
-    ends = materialise(runs.select(F.explode("nodes").alias("node"), "equal").groupBy("node").agg(F.bool_and("equal").alias("equal")), "ends")
-    any_, unlike = (context.broadcast(build(x.select("node"), x.count())) for x in (ends, ends.where("not equal")))
+    ends = materialise(runs.where("not equal").select(F.explode("nodes").alias("node")).distinct(), "ends")
+    begin, end, equal = F.col("nodes")[0], F.col("nodes")[1], F.col("equal")
+    places = [("id", "at", begin), ("id", "last", F.when(equal, end).otherwise(begin)), ("first", "k_at", F.when(equal, begin).otherwise(end)), ("first", "k_last", end)]
+    every = [runs.select(F.col(key).alias("_id"), F.col(at).alias("_at"), node.alias("_node")) for key, at, node in places]
+    asked = materialise(every[0].unionAll(every[1]).unionAll(every[2]).unionAll(every[3]).distinct(), "asked")
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, at, node = (np.asarray(x) for x in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(key), _place(key, at, node)]))], ["key"])
+
+    # one filter for documents and windows in them: what it lets through too much is not asked for
+    wanted = materialise(map_arrow(asked.select(F.xxhash64("_id"), "_at", "_node"), keys, "key long"), "wanted")
+    any_, unlike = (context.broadcast(build(x, x.count())) for x in (wanted, ends))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(any_.value.test(np.asarray(batch.column(2)))))
         t = Words(batch.column(1))
         at, name, _ = t.windows()
-        keep = any_.value.test(name.view(np.int64))
-        at, whole = at[keep], unlike.value.test(name[keep].view(np.int64))
+        name = name.view(np.int64)
+        keep = any_.value.test(_place(np.asarray(batch.column(2))[t.doc[at]], at - t.base[t.doc[at]], name))
+        at, name = at[keep], name[keep]
+        whole = unlike.value.test(name)
         if not len(at):
             return
         doc, small = t.doc[at], (t.hash >> np.uint64(32)).astype("<u4")
@@ -285,17 +326,17 @@ def _contexts(rows: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
             found += [small[k:to], begin[k:to] - begin[k], end[k:to] - end[to - 1]] if full else [None] * 3
             for column, x in zip(columns, found, strict=True):
                 column.append(None if x is None else x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at - t.base[doc], pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["id", "at", *_AROUND])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(at - t.base[doc], pa.int32()), pa.array(name), *(pa.array(x, pa.binary()) for x in columns)], ["id", "at", "node", *_AROUND])
 
-    every = map_arrow(rows, run, f"id {kind}, at int, {', '.join(f'{x} binary' for x in _AROUND)}", 1)
-    places = [runs.select(F.col(a).alias("_id"), F.col(b).alias("_at")) for a, b in (("id", "at"), ("id", "last"), ("first", "k_at"), ("first", "k_last"))]
-    asked = materialise(places[0].unionAll(places[1]).unionAll(places[2]).unionAll(places[3]).distinct(), "asked")
-    found = materialise(every.join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi").dropDuplicates(["id", "at"]), "contexts")
+    every = map_arrow(rows.withColumn("key", F.xxhash64("id")), run, f"id {kind}, at int, node long, {', '.join(f'{x} binary' for x in _AROUND)}", 1)
+    found = materialise(every.join(asked, (F.col("id") == F.col("_id")) & (F.col("at") == F.col("_at")) & (F.col("node") == F.col("_node")), "left_semi").drop("node").dropDuplicates(["id", "at"]), "contexts")
     any_.destroy()
     unlike.destroy()
     return found
 
 
+#: Kinds of rows that passages are made of, in their order; words around a document's own windows come without `first`.
+_AROUND_ROW, _LINE_ROW, _RUN_ROW = 0, 1, 2
 _AROUND = ["before", "before_at", "after", "after_at", "own", "own_begin", "own_end"]
 
 
@@ -403,33 +444,30 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
     have no k_; what lies within another is left out."""
     around = _contexts(rows, runs, kind)
 
-    def with_context(df: DataFrame, key: str, at: str, name: str, wanted: list[str]) -> DataFrame:
-        # all have the same fields, so that altered runs and others are of one kind
-        fields = [F.col(x) if x in wanted else F.lit(None).cast("binary").alias(x) for x in _AROUND]
-        side = around.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.struct(*fields).alias(name))
-        side = F.broadcast(side) if broadcastable(side, MOST_ROWS // 5) else side
-        return df.join(side, (F.col(key) == F.col("_id")) & (F.col(at) == F.col("_at")), "left").drop("_id", "_at")
-
-    plain, altered = runs.drop("nodes").where("equal"), runs.drop("nodes").where("not equal")
-    left, right = ["before", "before_at"], ["after", "after_at"]
-    for key, at, name, wanted in (("id", "at", "a", left), ("id", "last", "b", right), ("first", "k_at", "c", left), ("first", "k_last", "d", right)):
-        plain = with_context(plain, key, at, name, wanted)
-    for key, at, name in (("id", "at", "a"), ("first", "k_at", "c")):
-        altered = with_context(altered, key, at, name, _AROUND)
-    full = plain.unionByName(altered, allowMissingColumns=True)
+    # windows of a document, and those of its keepers once for each that asks for them, however many runs do
+    kept = [runs.select("id", "first", F.col(x).alias("at")) for x in ("k_at", "k_last")]
+    kept = materialise(kept[0].unionAll(kept[1]).distinct(), "kept")
+    side = around.select(F.col("id").alias("_i"), F.col("at").alias("_a"), *_AROUND)
+    side = F.broadcast(side) if broadcastable(side, MOST_ROWS // 5) else hashed(side)
+    kept = kept.join(side, (F.col("first") == F.col("_i")) & (F.col("at") == F.col("_a"))).select("id", "first", F.lit(_AROUND_ROW).alias("what"), "at", *_AROUND)
+    full = runs.drop("nodes").withColumn("what", F.lit(_RUN_ROW)).unionByName(kept, allowMissingColumns=True)
+    full = full.unionByName(around.withColumn("what", F.lit(_AROUND_ROW)), allowMissingColumns=True)
+    full = full.withColumn("class", F.lit(None).cast("long")).select("id", "first", "what", "class", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", *_AROUND)
     names = ["id", "first", "start", "end", "words", "k_start", "k_end", "k_words", "class"]
     schema = f"id {kind}, first {kind}, start int, end int, words int, k_start int, k_end int, k_words int, class bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, held, found, out = None, None, [], [], []
+        key, first, own, theirs, held, found, out = None, None, {}, {}, [], [], []
 
         def passages() -> None:
             for x in _overlaid([x for x in _joined(sorted(held), similarity) if min(x[1] - x[0], x[3] - x[2]) >= least]):
                 found.append([first, x[4], x[5], x[1] - x[0], x[6], x[7], x[3] - x[2], None, None])
             held.clear()
+            theirs.clear()
 
         def done() -> None:
             passages()
+            own.clear()
             out.extend([key, *x[:8]] for x in _outermost(found))
             found.clear()
 
@@ -440,10 +478,12 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
                 elif row[1] != first:
                     passages()
                 key, first = row[:2]
-                if row[2] is not None:
-                    found.append([first, row[7], row[8], row[4], None, None, None, row[2], row[11]])
+                if row[2] == _AROUND_ROW:
+                    (own if first is None else theirs)[row[4]] = dict(zip(_AROUND, row[13:], strict=True))
+                elif row[2] == _LINE_ROW:
+                    found.append([first, row[8], row[9], row[5], None, None, None, row[3], row[12]])
                 else:
-                    held.extend(_grown(row[3:], similarity))
+                    held.extend(_grown((*row[4:13], own.get(row[4]), own.get(row[5]), theirs.get(row[6]), theirs.get(row[7])), similarity))
             if len(out) > 10_000:
                 yield _batch(out, names, schema)
                 out.clear()
@@ -452,9 +492,8 @@ def _passages(rows: DataFrame, lines: DataFrame, runs: DataFrame, kind: str, sim
             yield _batch(out, names, schema)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    full = full.withColumn("class", F.lit(None).cast("long")).select("id", "first", "class", "at", "last", "k_at", "k_last", "start", "end", "k_start", "k_end", "equal", "a", "b", "c", "d")
-    every = full.unionByName(lines.select("id", "first", "class", F.col("words").alias("last"), "start", "end", F.col("own").alias("equal")), allowMissingColumns=True)
-    ordered = every.repartition(n, "id").sortWithinPartitions("id", "first", "at")
+    every = full.unionByName(lines.select("id", "first", F.lit(_LINE_ROW).alias("what"), "class", F.col("words").alias("last"), "start", "end", F.col("own").alias("equal")), allowMissingColumns=True)
+    ordered = every.repartition(n, "id").sortWithinPartitions("id", "first", "what", "at")
     return materialise(ordered.mapInArrow(run, schema), "passages")
 
 

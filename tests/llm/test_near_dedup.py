@@ -175,3 +175,18 @@ def test_ids_whose_sets_are_wanted_are_no_table_of_the_driver(spark, monkeypatch
     assert found == {k: (k, True) for k in range(39)} | {39: (None, False), None: (None, True)} | {100 + k: (k, False) for k in range(30)}
     assert seen and ["_id"] not in seen
     assert linking.MOST_BUCKETS <= 50_000 and near_dedup.MOST_IDS <= 100_000
+
+
+def test_only_hot_buckets_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(linking, "MOST_BUCKETS", 1)
+    monkeypatch.setattr(linking, "HOT", 3)
+    names = [bytes([k]) for k in range(6)]
+    bands = [(0, n) for n in names] + [(1, names[0]), (1, names[1]), (2, names[5])]
+    members = linking.bucket_members(spark.createDataFrame(bands, "band long, node binary"))
+    assert sorted((m.band, bytes(m.node), m.hot) for m in members.collect()) == [(b, n, b == 0) for b, n in bands[:-1]]
+    side = linking.materialise(spark.createDataFrame([(0, True, "x"), (1, False, "y")], "_b long, _hot boolean, what string"), "side")
+    joined = linking.with_band(members, side)
+    assert sorted((m.band, bytes(m.node), m.what) for m in joined.collect()) == [(b, n, "xy"[b]) for b, n in bands[:-1]]
+    sets = [(n, *linking.pack(np.arange(k // 3 * 50, k // 3 * 50 + 20, dtype=np.uint64), np.ones(20))) for k, n in enumerate(names)]
+    found = linking.link(members, linking.materialise(spark.createDataFrame(sets, "node binary, shingles binary, weights binary"), "sets"), 0.2)
+    assert {bytes(x.node): bytes(x.root) for x in found.collect()} == {n: names[k // 3 * 3] for k, n in enumerate(names)}
